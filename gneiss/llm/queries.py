@@ -45,8 +45,54 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.mixing import in_training_order, mixing_plan
+
+    plan = in_training_order(mixing_plan(table(spark, sf_dir, "documents")), copies=False)
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.pii import personal_data_digest
+
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_token_files, op5_sentencepiece, op7_quality_rules)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": """
+with s as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+           md5(coalesce(cast(doc_id as varchar), '')) as h
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size,
+           [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as w
+    from s group by source
+), ordered as (
+    select *, row_number() over by_cap as k, sum(source_size) over () as everything,
+           coalesce(sum(3 * source_size) over (by_cap rows between unbounded preceding and 1 preceding), 0) as capped,
+           sum(w) over (by_cap rows between current row and unbounded following) as w_left
+    from sources window by_cap as (order by 3.0 * source_size / w, source nulls last)
+), level as (
+    select coalesce(min_by((everything - capped) / w_left::double, k), 1e300) as x
+    from ordered where w * ((everything - capped) / w_left::double) <= 3 * source_size
+), aimed as (
+    select source, source_size, least(w * x, (3 * source_size)::double) as target from sources, level
+), quotas as (
+    select *, round(target)::bigint as quota, case when source_size > 0 then round(target)::bigint // source_size else 0 end as passes from aimed
+)
+select s.doc_id, s.size::bigint as size, q.source_size, q.target,
+       (passes * size + greatest(least(quota - passes * source_size - coalesce(sum(size) over (partition by s.source order by h, size rows between unbounded preceding and 1 preceding), 0), size), 0))::bigint as taken
+from s join quotas q on s.source is not distinct from q.source
+""",
+}
