@@ -64,8 +64,14 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
