@@ -45,6 +45,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.llm.mixing import in_training_order, mixing_plan
 
@@ -71,7 +77,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
