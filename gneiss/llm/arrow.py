@@ -31,4 +31,4 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str,
                 new = [v if isinstance(v, pa.Array) else pa.array(v, ARROW[t]) for v, (_, t) in zip(values, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=schema.names)
 
-    return df.select(*[df[c] for c in keep], df[text].cast("string")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].cast("string").alias("__text")).mapInArrow(run, schema)

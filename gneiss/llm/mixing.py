@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.plans.ordering import running_total
 from gneiss.session import shuffle_partitions
@@ -66,12 +66,13 @@ def targets(sources: DataFrame, most: int = MOST) -> float:
         level = (row["all"] - row["full"]) / row["weight"]
 
 
-def mixing_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shapes=SHAPES) -> DataFrame:
+def mixing_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shapes=SHAPES, keyed: bool = False) -> DataFrame:
     """How often and when every row of docs is taken.
 
     doc_id, source, size, source_size, target, taken (words, repeats counted),
     passes (whole copies), extra (words of a last, cut copy), before (words of
-    its source ahead of it) and position (time of its first copy). Sources are
+    its source ahead of it), class (of its weight), h (its place in the order),
+    position (time of its first copy) and, if keyed, key (the text's hash). Sources are
     ranked by code point, null last. Every document is taken in the same number
     of passes; the rest of the target is filled in the order of the hash of
     doc_id, so reruns agree and a source's words meet its target to within one.
@@ -80,7 +81,7 @@ def mixing_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     with any share of all rows is spread over range partitions.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), *[F.xxhash64(text).alias("key")] * keyed)
     rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     order = [F.col("source").asc_nulls_last(), F.col("h"), F.col("size")]
     rows = stage(rows, "sizes")
@@ -102,7 +103,7 @@ def mixing_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     rows = rows.withColumn("passes", F.coalesce(F.expr("try_divide(quota - quota % nullif(source_size, 0), source_size)"), F.lit(0)).cast("long"))
     rows = rows.withColumn("extra", F.greatest(F.least(F.expr("quota - passes * source_size - before"), F.col("size")), F.lit(0)).cast("long"))
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-    return rows.withColumn("position", position(F.col("before"), shapes)).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "extra", "before", "class", "h", "position")
+    return rows.withColumn("position", position(F.col("before"), shapes)).select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "extra", "before", "class", "h", "position", *["key"] * keyed)
 
 
 def position(words: Column, shapes=SHAPES) -> Column:
@@ -125,3 +126,25 @@ def in_training_order(plan: DataFrame, copies: bool = True, shapes=SHAPES) -> Da
         rows = rows.withColumn("position", position(F.col("copy") * F.col("source_size") + F.col("before"), shapes))
     rows = stage(rows, "positions")
     return rows.repartitionByRange(parts, "position", "h").sortWithinPartitions("position", "h")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, range-sorted by position; columns stay as they are.
+
+    Documents stay whole: of the last, cut copy a document is given when the
+    mix takes at least half of it. Rows that agree in doc_id and text share
+    their copies in any order.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    plan = mixing_plan(docs, doc_id, text, source, keyed=True)
+    copies = F.col("passes") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
+    at = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: c * F.col("source_size") + F.col("before"))
+    plan = plan.withColumn("copies", copies.cast("int")).filter("copies > 0").withColumn("words", at)
+    none = F.lit(-(1 << 63) + 1)
+    same = Window.partitionBy("__id", "__key").orderBy("__key")
+    plan = plan.select(F.coalesce("doc_id", none).alias("__id"), F.col("key").alias("__key"), "words", "target", "class", F.col("h").alias("__h"))
+    plan = plan.withColumn("__n", F.row_number().over(same)).select("__id", "__key", "__n", "__h", F.explode("words").alias("w"), "target", "class")
+    plan = plan.select("__id", "__key", "__n", "__h", position(F.col("w")).alias("__position"))
+    rows = docs.withColumns({"__id": F.coalesce(docs[doc_id], none), "__key": F.xxhash64(docs[text])})
+    rows = rows.withColumn("__n", F.row_number().over(same)).join(plan, ["__id", "__key", "__n"])
+    return rows.repartitionByRange(parts, "__position", "__h").sortWithinPartitions("__position", "__h").select(*[rows[c] for c in docs.columns])

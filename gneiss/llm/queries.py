@@ -39,6 +39,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), full=False)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.line_runs import dedup_digest
+
+    return dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.llm.quality import quality_rules
 
@@ -77,7 +83,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gneiss.llm.arrow import map_texts
 from gneiss.plans.components import connected_components
@@ -287,26 +287,44 @@ def links(reps: DataFrame, plan: list[tuple[list[int], int]], most: int = MOST_B
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp (signed long) and component_id for every row of docs.
+    """doc_id, key, fp (signed long), component_id and head for every row of docs.
 
     component_id is the smallest doc_id reachable over links of at most most
-    differing bits. Texts without words have the fingerprint zero and link like
+    differing bits; head is the smallest fingerprint of the component and key
+    the text's hash. Texts without words have the fingerprint zero and link like
     any other. Rows with a null doc_id take part; a component of nulls alone has
     a null id. Repeated rows are returned as often as they come. Documents with
     equal fingerprints are reduced to one before anything is linked, so a
     large group of copies costs one row; an empty table gives an empty result.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = stage(fingerprints(source), "fingerprints")
+    prints = stage(fingerprints(source.withColumn("key", F.xxhash64("text")), keep=("doc_id", "key")), "fingerprints")
     reps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     n = reps.count()
     if n < 2:
-        return prints.join(reps.select("fp", F.col("rep").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
-    edges = stage(links(reps, plan_search(reps, n, most), most), "links")
-    nodes = connected_components(edges)
-    members = nodes.join(reps, F.col("node") == F.col("fp")).select("fp", "component", "rep")
-    heads = members.groupBy("component").agg(F.min("rep").alias("head"))
-    found = members.join(heads, "component").select("fp", "head")
-    final = stage(reps.join(found, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id")), "heads")
-    drop(edges)
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+        final = reps.select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("head"))
+    else:
+        edges = stage(links(reps, plan_search(reps, n, most), most), "links")
+        nodes = connected_components(edges)
+        members = nodes.join(reps, F.col("node") == F.col("fp")).select("fp", "component", "rep")
+        least = members.groupBy("component").agg(F.min("rep").alias("least"))
+        found = members.join(least, "component").select("fp", "least", "component")
+        final = reps.join(found, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "fp").alias("head"))
+        final = stage(final, "heads")
+        drop(edges)
+    return prints.join(final, "fp").select("doc_id", "key", "fp", "component_id", "head")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the smallest doc_id, then the smallest hash of the text.
+
+    Columns stay as they are. Of rows that agree in doc_id and text one stays;
+    null ids come after all others.
+    """
+    found = near_duplicates(docs, doc_id, text, most)
+    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("key").alias("__key"))
+    heads = found.groupBy("head").agg(F.min(rank).alias("r")).select("r.__id", "r.__key").distinct()
+    rows = docs.withColumns({"__id": F.coalesce(docs[doc_id], F.lit((1 << 63) - 1)), "__key": F.xxhash64(docs[text])})
+    kept = rows.join(heads, ["__id", "__key"], "left_semi")
+    first = Window.partitionBy("__id", "__key").orderBy("__key")
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__id", "__key", "__n")
