@@ -1,10 +1,6 @@
 """Registered queries over the reference's operators and their DuckDB equivalents."""
 
-from __future__ import annotations
+from gneiss.queries import changes, facts, history, similar  # noqa: F401  they register on import
+from gneiss.queries.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
