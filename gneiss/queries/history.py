@@ -238,3 +238,49 @@ for _i in range(20):
 @query(f"{FACTS}, pn as (select distinct src as path from kept), pw as (select src, dst, support / sum(support) over (partition by src)::double as w from kept), {', '.join(_RANKS)} select path, {A6('rank')} as rank from r20")
 def pagerank(spark, sf_dir):
     return coupling.pagerank(coupling.neighbours(coupled(spark, sf_dir)[2], CFG))
+
+
+EDGES = f"""{FACTS}, rel as (select a, b, 'temporal' as kind, weighted as score from edges where support >= 14)"""
+
+
+def related(spark, sf_dir) -> DataFrame:
+    return coupled(spark, sf_dir)[2].filter("support >= 14").select("a", "b", F.lit("temporal").alias("kind"), F.col("weighted").alias("score"))
+
+
+@query(f"{COMMITS} select commit_id, kind, weight from commits where kind in ('release', 'merge', 'import')")
+def calibration(spark, sf_dir):
+    return ops.commits(fx.touches(spark, sf_dir)).filter(F.col("kind").isin("release", "merge", "import")).select("commit_id", "kind", "weight")
+
+
+_SCORED_REST = SCORED[len(BASE) :]
+
+
+@query(f"""{PAIRS}, rel as (select a, b from edges where support >= 14){_SCORED_REST}, top as (select * from scored order by score desc, tokens desc, path limit 10), en as (select unnest([a, b]) as path from rel), ne as (select path, count(*) as n from en group by 1)
+select path, score, tokens, (select array_to_string(list(name order by v desc, i) [1:3], ',') from (values (age_pressure, 0, 'age_pressure'), (churn_pressure, 1, 'churn_pressure'), (revision_norm, 2, 'revision_norm'), (churn_norm, 3, 'churn_norm')) t(v, i, name) where v > 0) as pressures, coalesce(n, 0) as n_edges from top left join ne using (path)""")
+def explain_top(spark, sf_dir):
+    from gneiss.operators import lookup
+
+    return lookup.explain_top(scored(spark, sf_dir), related(spark, sf_dir), 10, ["age_pressure", "churn_pressure", "revision_norm", "churn_norm"])
+
+
+@query(f"{EDGES}, f as (select min(path) as p from tracked) select a, b, kind, score, 1 as hits from rel, f where a = p or b = p")
+def show_path(spark, sf_dir):
+    from gneiss.operators import lookup
+
+    anchor = fx.tracked(spark, sf_dir).agg(F.min("path")).first()[0]
+    return lookup.touching(related(spark, sf_dir), anchor)
+
+
+@query(f"""{PAIRS}, rel as (select a, b, weighted as score from edges where support >= 14){_SCORED_REST}, f as (select min(path) as p from tracked), ow as (select path, 0 as rank, 0.0::double as w from scored, f where path = p), nr as (select case when a = p then b else a end as path, 1 as rank, max(score) as w from rel, f where a = p or b = p group by 1),
+bs as (select path, 2 as rank, score as w from scored, f where regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(p, '^(.*)/[^/]*$', 1) and path <> p), al as (select *, row_number() over (partition by path order by rank, w desc) as k from (select * from ow union all select * from nr union all select * from bs))
+select path, rank from al where k = 1 order by rank, w desc, path limit 5""")
+def plan_anchor_scope(spark, sf_dir):
+    from gneiss.operators import lookup
+
+    anchor = fx.tracked(spark, sf_dir).agg(F.min("path")).first()[0]
+    return lookup.anchor_scope(scored(spark, sf_dir), related(spark, sf_dir), anchor)
+
+
+@query(f"{BASE} select count(*) as n_files, {NOW} - max(ts) > 86400 as stale, max(ts) - {NOW} > 300 as from_the_future from touches, (select count(*) as c from files)")
+def freshness(spark, sf_dir):
+    return fx.touches(spark, sf_dir).agg(F.count("*").alias("n_files"), (F.lit(NOW) - F.max("ts") > 86_400).alias("stale"), (F.max("ts") - NOW > 300).alias("from_the_future"))
