@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.config import Config
 from gneiss.functions.numeric import clip, half_away
@@ -29,21 +29,39 @@ def navigation(files: DataFrame) -> DataFrame:
     return rows.select("path", "depth", "siblings", "same_name", half_away(F.col("ambiguity")).alias("ambiguity"), half_away(pressure).alias("navigation"))
 
 
+def grams(text: Column, width: Column) -> Column:
+    """All distinct substrings of a width."""
+    last = F.length(text) - width + 1
+    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, width))).otherwise(F.array().cast("array<string>")))
+
+
+def containing(needles: DataFrame, tests: DataFrame) -> DataFrame:
+    """(needle, test) where a test's lower-cased path holds the needle.
+
+    Every needle is looked up by the rarest of its substrings of three
+    characters (itself, if shorter) in an index of the tests', then verified;
+    nothing is compared with everything.
+    """
+    index = tests.select("test", "low", F.explode(F.concat(*[grams(F.col("low"), F.lit(k)) for k in (1, 2, 3)])).alias("gram"))
+    wanted = needles.select("needle", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(3)))).alias("gram"))
+    rarest = wanted.join(index.groupBy("gram").count(), "gram").groupBy("needle").agg(F.count("*").alias("n"), F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    every = wanted.groupBy("needle").agg(F.count("*").alias("all"))
+    rarest = rarest.join(every, "needle").filter(F.col("n") == F.col("all")).select("needle", "gram")
+    return rarest.join(index, "gram").filter(F.contains(F.col("low"), F.col("needle"))).select("needle", "test")
+
+
 def test_mapping(files: DataFrame, limit: int = 5) -> DataFrame:
     """(path, test, strength, position): tests whose lower-cased path holds the file's name, or else its first long name part.
 
-    The file's name is looked up by the name parts of the tests' paths where it
-    equals one; the remaining containment is a join of sources with the far
-    fewer tests, grouped by stem so that equal names are matched once.
+    Equal names are matched once; each keeps its first tests by strength and path.
     """
-    from pyspark.sql import Window
-
     rows = files.select("path", F.lower(name_stem(F.col("path"))).alias("stem"))
     tests = files.filter(is_test(F.col("path"))).select(F.col("path").alias("test"), F.lower("path").alias("low"))
     prefix = F.coalesce(F.try_element_at(F.filter(F.split("stem", "_"), lambda p: F.octet_length(p) >= 5), F.lit(1)), F.lit(""))
     stems = rows.select("stem").distinct().withColumn("prefix", prefix)
-    strong = stems.filter("stem <> ''").join(tests, F.contains(F.col("low"), F.col("stem"))).select("stem", "test", F.lit(1).alias("strength"))
-    weak = stems.join(strong.select("stem").distinct(), "stem", "left_anti").filter("prefix <> ''").join(tests, F.contains(F.col("low"), F.col("prefix"))).select("stem", "test", F.lit(2).alias("strength"))
+    strong = containing(stems.filter("stem <> ''").select(F.col("stem").alias("needle")), tests).select(F.col("needle").alias("stem"), "test", F.lit(1).alias("strength"))
+    others = stems.join(strong.select("stem").distinct(), "stem", "left_anti").filter("prefix <> ''")
+    weak = others.join(containing(others.select(F.col("prefix").alias("needle")).distinct(), tests), F.col("prefix") == F.col("needle")).select("stem", "test", F.lit(2).alias("strength"))
     found = strong.unionByName(weak)
     best = Window.partitionBy("stem").orderBy("strength", "test")
     found = found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= limit)
@@ -84,8 +102,6 @@ def dispersion(terms: DataFrame, n_files: int, cfg: Config) -> DataFrame:
     Of the wandering terms the first top_terms by name count; both lists come
     from ranked rows, at most top_terms a file.
     """
-    from pyspark.sql import Window
-
     common = F.col("term").isin(*COMMON) | (F.octet_length("term") <= 2)
     rows = terms.join(term_stats(terms), "term").filter(~common)
     rows = rows.withColumn("idf", F.log(F.lit(n_files + 1.0) / (F.col("df") + 1)) + 1)

@@ -8,6 +8,7 @@ from gneiss.config import Config
 from gneiss.functions.numeric import clip, half_even, nearest_rank
 from gneiss.functions.paths import DERIVED
 from gneiss.operators.inventory import context_band, context_pressure
+from gneiss.plans.ordering import global_rank
 
 CONTEXT_REASONS = ("critical_token_cost", "high_token_cost")
 
@@ -62,14 +63,14 @@ def severity() -> Column:
 
 
 def action_queue(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Files that need attention, ranked by score, tokens and path; the rank is global, so a limit keeps the sort bounded."""
+    """Files that need attention, ranked by score, tokens and path; a limit makes it a bounded top list."""
     admitted = (F.size("reasons") > 0) | F.col("context_band").isin("warning", "critical") | F.col("score_band").isin("high", "critical")
     pure = (F.size("reasons") > 0) & F.forall("reasons", lambda r: r.isin(*CONTEXT_REASONS))
     order = [F.desc("score"), F.desc("tokens"), F.asc("path")]
     queue = rows.filter(admitted).withColumns({"severity": severity(), "pure_context": pure, "evidence": F.when(F.col("revisions") >= 5, "supported").otherwise("low_support")})
-    if limit is not None:
-        queue = queue.orderBy(*order).limit(limit)
-    return queue.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    if limit is None:
+        return global_rank(queue, order)
+    return queue.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def observations(queue: DataFrame) -> DataFrame:

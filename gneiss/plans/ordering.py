@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.session import shuffle_partitions
+from gneiss.staging import stage
 
 
 def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:
@@ -45,3 +46,13 @@ def running_total(df: DataFrame, slot: str, order: list[Column], value: str, out
         .withColumn(out, F.col("__before") + F.col("__inside"))
         .drop("__slot", "__before", "__inside")
     )
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """Adds out: 1 for the first row in a total order, and so on; ranges are ranked apart and offset by their sizes.
+
+    The ranges are staged, so both passes see the same cuts.
+    """
+    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
+    placed = stage(placed.withColumns({"__range": F.spark_partition_id(), "__one": F.lit(1)}), "ranked")
+    return running_total(placed, "__range", order, "__one", out).withColumn(out, (F.col(out) + 1).cast("int")).drop("__range", "__one")

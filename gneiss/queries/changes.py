@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gneiss.operators import compare
 from gneiss.operators.inventory import context_band
 from gneiss.operators.scoring import score_band
+from gneiss.plans.ordering import global_rank
 from gneiss.queries.facts import BAND
 from gneiss.queries.registry import BASE, CFG, query
 from gneiss.sources import fixtures as fx
@@ -73,8 +74,8 @@ def overlay_deltas(spark, sf_dir):
 @query(f"""{SNAP}, bq as (select path, row_number() over (order by score desc, tokens desc, path) as p from base where score >= 50), hq as (select path, row_number() over (order by score desc, tokens desc, path) as p from head where score >= 50)
 select path, b.p as base_position, h.p as head_position, h.p - b.p as moved, case when b.p is null then 'entered' when h.p is null then 'left' when h.p < b.p then 'up' when h.p > b.p then 'down' else 'same' end as movement from bq b full join hq h using (path)""")
 def queue_movement(spark, sf_dir):
-    order = Window.orderBy(F.desc("score"), F.desc("tokens"), "path")
-    base, head = (df.filter("score >= 50").withColumn("position", F.row_number().over(order)) for df in snapshots(spark, sf_dir))
+    order = [F.desc("score"), F.desc("tokens"), F.asc("path")]
+    base, head = (global_rank(df.filter("score >= 50"), order) for df in snapshots(spark, sf_dir))
     return compare.queue_movement(base, head)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from gneiss.functions import paths, text as texts
 from gneiss.functions.numeric import half_away
 from gneiss.operators import health, inventory, overlays, policy
+from gneiss.plans.ordering import global_rank
 from gneiss.queries.registry import BASE, CFG, query
 from gneiss.sources import fixtures as fx
 
@@ -195,7 +196,7 @@ def compact_selection(spark, sf_dir):
 
     rows = files(spark, sf_dir)
     first = rows.orderBy(F.desc("tokens"), "path").limit(30).withColumn("position", F.row_number().over(Window.orderBy(F.desc("tokens"), "path")))
-    small = rows.filter("context_band = 'healthy'").withColumn("position", F.row_number().over(Window.orderBy("path")))
+    small = global_rank(rows.filter("context_band = 'healthy'"), [F.asc("path")])
     return policy.prioritized([first, small], 60)
 
 
