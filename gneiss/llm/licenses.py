@@ -9,6 +9,8 @@ merged span is verified by the share of the template that it covers.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 K = 3
@@ -50,15 +52,18 @@ def words_of(text: str) -> str:
     return f"filter(split(lower({safe}), '{SEPARATORS.replace(chr(92), chr(92) * 2)}'), w -> w <> '')"
 
 
-def templates(spark: SparkSession, k: int = K) -> DataFrame:
-    """(h, tid, tpos) for every k-gram of the phrases and notices, with each template's label and length; a few hundred rows."""
-    import re
-
+def template_rows(k: int = K) -> list[tuple[int, str, bool, int, int, list[str]]]:
+    """(tid, label, exact, grams, tpos, words) for every k-gram of the phrases and notices; a few hundred rows."""
     rows = []
     for tid, (words, label) in enumerate([*PHRASES, *NOTICES]):
         own = re.findall(r"[a-z0-9]+", words.lower())
         rows += [(tid, label, tid < len(PHRASES), len(own) - k + 1, p, own[p : p + k]) for p in range(len(own) - k + 1)]
-    grams = spark.createDataFrame(rows, "tid int, label string, exact boolean, grams int, tpos int, w array<string>")
+    return rows
+
+
+def templates(spark: SparkSession, k: int = K) -> DataFrame:
+    """The template rows with h, the hash of their words."""
+    grams = spark.createDataFrame(template_rows(k), "tid int, label string, exact boolean, grams int, tpos int, w array<string>")
     return grams.select(F.xxhash64(*[F.col("w")[i] for i in range(k)]).alias("h"), "tid", "label", "exact", "grams", "tpos")
 
 

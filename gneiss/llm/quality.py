@@ -55,7 +55,7 @@ def line_fails(words: list[bytes], line: str) -> str:
     if capitals > n and capitals > CAPITAL_SHARE * len(LETTERS.findall(line)):
         return "capitals"
     most = max(REPEAT_SHARE * n, FEW)
-    if n - len(set(words)) >= most and Counter(words).most_common(1)[0][1] > most:
+    if n - len(set(words)) + 1 > most and Counter(words).most_common(1)[0][1] > most:
         return "repetition"
     if not SENTENCE_MARKS.search(line):
         return "punctuation"

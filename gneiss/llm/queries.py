@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gneiss.llm.licenses import template_rows
+
 #: File names of the public tokenizers the queries use.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -86,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
 }
 
+_GRAMS = ", ".join(f"({t}, '{label}', {exact}, {n}, {p}, '{' '.join(w)}')" for t, label, exact, n, p, w in template_rows())
+_PHRASES = "all rights reserved|accept cookies|cookie policy|enable javascript|javascript is disabled|lorem ipsum|privacy policy|read more|sign up for our newsletter|terms of service|terms of use|use of cookies"
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": """
 with s as (
@@ -112,5 +116,70 @@ with s as (
 select s.doc_id, s.size::bigint as size, q.source_size, q.target,
        (passes * size + greatest(least(quota - passes * source_size - coalesce(sum(size) over (partition by s.source order by h, size rows between unbounded preceding and 1 preceding), 0), size), 0))::bigint as taken
 from s join quotas q on s.source is not distinct from q.source
+""",
+    "op7_quality_rules": f"""
+with w as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents
+), triples as (
+    select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as t from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)
+), places as (
+    select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, t) as c from triples) where c > 1
+), repeats as (
+    select doc_id, count(distinct p) as n_repeat_words from places group by 1
+), lines as (
+    select doc_id, generate_subscripts(l, 1) as j, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from w)
+), own as (
+    select *, row_number() over (partition by doc_id, line order by j) as copy
+    from (select *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw from lines) where len(lw) > 0
+), most as (
+    select doc_id, j, max(c) as top from (select doc_id, j, x, count(*) as c from (select doc_id, j, unnest(lw) as x from own) group by all) group by 1, 2
+), judged as (
+    select o.doc_id, copy, len(lw) as n, case
+        when len(lw) <= 30 and regexp_matches(lower(line), '{_PHRASES}') then true
+        when len(lw) < 6 then false
+        when len(list_filter(lw, lambda x: x in ('|', '>', '»', '›', '·', '•'))) > 0.2 * len(lw) then true
+        when len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.3 * len(lw) then true
+        when len(regexp_extract_all(line, '[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]')) > len(lw)
+         and len(regexp_extract_all(line, '[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]')) > 0.6 * len(regexp_extract_all(line, '[\\pL\\p{{No}}\\p{{Nl}}]')) then true
+        when top > greatest(0.3 * len(lw), 6) then true
+        else not regexp_matches(line, '[.,;:!?…。！？،؛।]') end as fails
+    from own o join most m on m.doc_id = o.doc_id and m.j = o.j
+), losses as (
+    select doc_id, count(*) filter (copy > 1) as n_dup_lines, coalesce(sum(n) filter (fails), 0) as lost from judged group by 1
+), counts as (
+    select w.doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+           coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost, 0) as lost
+    from w left join losses using (doc_id) left join repeats using (doc_id)
+), failed as (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.3 * n_words as kept from failed
+""",
+    "op8_license_scan": f"""
+with t as (select * from (values {_GRAMS}) v(tid, label, exact, grams, tpos, gram)
+), w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+), g as (
+    select doc_id, i - 1 as pos, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as gram from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)
+), votes as (
+    select doc_id, tid, any_value(label) as label, any_value(exact) as exact, any_value(grams) as grams, pos - tpos as diagonal, list(distinct tpos) as seen
+    from g join t using (gram) group by doc_id, tid, pos - tpos
+), marked as (
+    select *, (coalesce(diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal), 0) > 3)::int as apart from votes
+), spanned as (
+    select *, sum(apart) over (partition by doc_id, tid order by diagonal) as span, exact and len(seen) = grams as whole from marked
+), spans as (
+    select doc_id, tid, any_value(label) as label, any_value(exact) as exact, any_value(grams) as grams, len(list_distinct(flatten(list(seen)))) as covered,
+           count(*) filter (whole) as places, min(diagonal) filter (whole) as first, max(diagonal) filter (whole) as last from spanned group by doc_id, tid, span
+), shares as (
+    select *, case when exact then (places > 0)::int::double else covered / grams::double end as share from spans
+), found as (
+    select doc_id, sum(places)::bigint as n_base, min(first)::bigint as first_word, max(last)::bigint as last_word,
+           array_to_string(list_sort(list(distinct label) filter (places > 0)), ',') as base_labels,
+           array_to_string(list_sort(list(distinct label) filter (share >= 0.6)), ',') as labels, max(share) as score from shares group by 1
+)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+       coalesce(labels, '') as labels, round(coalesce(score, 0.0), 6) as score from w left join found using (doc_id)
 """,
 }
