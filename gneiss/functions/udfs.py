@@ -119,3 +119,26 @@ def truncate_utf8_of(text: str, n: int) -> str:
 @F.pandas_udf(T.StringType())
 def truncate_utf8(text: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else truncate_utf8_of(t, int(k)) for t, k in zip(text, n, strict=True)])
+
+
+def mask_quotes_of(text: str) -> str:
+    """Quoted strings become str between spaces; an apostrophe inside a word is none, an open quote runs to the end."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        c = text[i]
+        inside = c == "'" and 0 < i < n - 1 and text[i - 1].isalnum() and text[i + 1].isalnum()
+        if c not in "\"'`" or inside:
+            out.append(c)
+            i += 1
+            continue
+        i += 1
+        while i < n and text[i] != c:
+            i += 2 if text[i] == "\\" else 1
+        i += 1
+        out.append(" str ")
+    return "".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def mask_quotes(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else mask_quotes_of(t))
