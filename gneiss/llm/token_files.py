@@ -8,6 +8,7 @@ lengths alone, or the ids of a few documents.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,14 @@ LAYOUT = {
     "compression": "zstd",
 }
 #: Distinct words, and stems without their closing marks, whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+
+
+MARKS = ".,;:!?|"
+
+
+class Unsafe(Exception):
+    """A space follows white space, so the text is not cut there."""
 
 
 class WordTokenizer:
@@ -48,31 +56,40 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: A byte-level vocabulary writes visible Latin-1 bytes as themselves and the others, in order, as 256 and up.
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in visible]
+        self.byte_chars = [chr(b if b in visible else 256 + hidden.index(b)) for b in range(256)]
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= )")
-        self.unsafe = regex.compile(r"[\s\x1c-\x1f\x85] ")
-        self.plain = regex.compile(r"( ?\p{L}+)([.,;:!?|]*)")
 
     def pack(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def direct(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def stem(self, text: str) -> bytes:
+    def piece(self, text: str) -> bytes:
+        """The ids of a text that the pre-tokenizer leaves whole: merged directly, without offsets."""
         found = self.stems.get(text)
         if found is None:
-            found = self.direct(text)
+            found = self.pack([t.id for t in self.tokenizer.model.tokenize("".join([self.byte_chars[b] for b in text.encode()]))])
             if len(self.stems) < REMEMBERED and len(text) < 64:
                 self.stems[text] = found
         return found
 
     def look(self, word: str) -> bytes:
         """The ids of a space and a word."""
-        text = " " + word
-        m = self.plain.fullmatch(text)
-        found = self.stem(m[1]) + (self.stem(m[2]) if m[2] else b"") if m else self.direct(text)
+        if not word or word[-1].isspace():
+            raise Unsafe
+        head = word.rstrip(MARKS)
+        if head.isalpha() and max(head) < "\u0530":  # letters in every version of Unicode
+            found = self.piece(" " + head)
+            if len(head) < len(word):
+                found += self.piece(word[len(head) :])
+        else:
+            found = self.direct(" " + word)
         if len(self.words) < REMEMBERED and len(word) < 64:
             self.words[word] = found
         return found
@@ -81,11 +98,15 @@ class WordTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if text[0] == " " or self.unsafe.search(text):
-            return b"".join(map(self.stem, self.cut.split(text)))
         first, *rest = text.split(" ")
-        get, look = self.words.get, self.look
-        return self.stem(first) + b"".join([get(w) or look(w) for w in rest])
+        if rest and first:
+            last = rest.pop()
+            get, look = self.words.get, self.look
+            try:
+                return self.direct(first) + b"".join([get(w) or look(w) for w in rest]) + (get(last) or self.direct(" " + last))
+            except Unsafe:
+                pass
+        return b"".join(map(self.direct, self.cut.split(text)))
 
 
 @lru_cache(maxsize=2)
