@@ -23,8 +23,8 @@ SAMPLE, SAMPLE_BYTES, LIST, LISTS = 65_536, 32 << 20, 128, 4096
 COPIES, BOUNDARY = 4, 1.10
 #: Edges of a centroid in the graph; queries the ratio is calibrated on; recall it aims at.
 DEGREE, TRIALS, AIM = 24, 512, 0.985
-#: Vectors and queries that one task compares at once.
-BLOCK, QUERIES_AT_ONCE = 16_384, 512
+#: Vectors (and their bytes) and queries that one task compares at once.
+BLOCK, BLOCK_BYTES, QUERIES_AT_ONCE = 16_384, 16 << 20, 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -124,16 +124,16 @@ class Index:
 
     def homes(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: the nearest, and others that are hardly farther and not behind one chosen before."""
-        ids, dist = self.search(x, 4 * COPIES)
         out = []
-        for row, d in zip(ids, dist, strict=True):
-            own = [row[0]]
-            for i, far in zip(row[1:], d[1:], strict=True):
-                if len(own) == COPIES or far > BOUNDARY * d[0] + 1e-9:
-                    break
-                if (2 - 2 * self.centroids[own] @ self.centroids[i] > far * far * 0.25).all():
-                    own.append(i)
-            out.append(np.array(own))
+        for at in range(0, len(x), 1024):
+            for row, d in zip(*self.search(x[at : at + 1024], 4 * COPIES), strict=True):
+                own = [row[0]]
+                for i, far in zip(row[1:], d[1:], strict=True):
+                    if len(own) == COPIES or far > BOUNDARY * d[0] + 1e-9:
+                        break
+                    if (2 - 2 * self.centroids[own] @ self.centroids[i] > far * far * 0.25).all():
+                        own.append(i)
+                out.append(np.array(own))
         return out
 
     def lists(self, q: np.ndarray) -> list[np.ndarray]:
@@ -153,9 +153,13 @@ def fit(sample: np.ndarray, n: int, k_nearest: int, seed: int = 7) -> Index:
     graph = np.hstack([near, rng.integers(0, k, (k, 4))]) if degree else near  # a few far links keep it connected
     index = Index(c, np.vstack([graph, np.full((1, graph.shape[1]), k)]), rng.choice(k, min(16, k), replace=False), k, np.inf)
     homes = index.homes(x)
-    q = x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)]
-    sims = q @ x.T
-    top = np.argsort(-sims, axis=1, kind="stable")[:, 1 : k_nearest + 1]
+    tried = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
+    q, top = x[tried], []
+    for at in range(0, len(q), 16):  # a few rows of distances to the whole sample at once
+        sims = q[at : at + 16] @ x.T
+        sims[np.arange(len(sims)), tried[at : at + 16]] = -np.inf
+        some = np.argpartition(-sims, min(k_nearest, sims.shape[1]) - 1, axis=1)[:, :k_nearest]
+        top += [row[s[row] > -np.inf] for row, s in zip(some, sims, strict=True)]
     dist = np.sqrt(np.maximum(2 - 2 * (q @ c.T), 0))
     need = [min(dist[i, homes[j]]) / max(dist[i].min(), 1e-9) for i, row in enumerate(top) for j in row]
     index.ratio = float(max(1.0, np.quantile(need, AIM))) if need else 1.0
@@ -217,13 +221,14 @@ def nearest_neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: st
 
     lists = stage(groups.select("x", "ids").mapInArrow(postings, "list int, x array<double>, ids array<long>"), "postings")
     counts = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}  # one row a list
+    room = max(64, min(BLOCK, BLOCK_BYTES // (8 * dim)))
     blocks, pieces, filled, block = [], {}, 0, 0
     for i in sorted(counts):
-        pieces[i] = max(1, -(-counts[i] // BLOCK))
-        if filled and filled + counts[i] > BLOCK or pieces[i] > 1:
+        pieces[i] = max(1, -(-counts[i] // room))
+        if filled and (filled + counts[i] > room or pieces[i] > 1):
             block, filled = block + 1, 0
         blocks += [(i, p, block + p) for p in range(pieces[i])]
-        filled += counts[i] if pieces[i] == 1 else BLOCK
+        filled += counts[i] if pieces[i] == 1 else room
         block += pieces[i] - 1
     where = F.broadcast(spark.createDataFrame(blocks, "list int, piece int, block int"))
     many = F.broadcast(spark.createDataFrame(list(pieces.items()), "list int, pieces int"))
