@@ -1,12 +1,14 @@
-"""Line dedup: repeated runs of lines by prefix doubling over the corpus as one sequence of line ids.
+"""Line dedup: repeated runs of lines, found by the shortest windows that are long enough.
 
 All documents' lines form one sequence in doc_id order, with a gap after each
-document. Doubling names every window of 2^k lines by the names of its halves,
-so equal names are the intervals of the suffix array whose common prefix is at
-least 2^k lines long. An interval is reduced to its first position; a window
-that is not its interval's first is a later copy. Windows of one document that
-point back by the same distance belong to one longer common prefix and are
-merged into a maximal run; runs with enough words are deleted.
+document. A repeated run is any window of lines with enough words that stands
+at an earlier place too, of whatever length. Every window inside one repeats as
+well, so a line goes exactly if a shortest window around it repeats: the
+shortest with enough words from each line on, the shortest up to each line, and
+both again with two lines at least, which tell whether neighbours belong to one
+run. What such a window is depends on its lines alone, so equal names are all
+its places, and all but the first are later copies. Names of any length come
+from two overlapping windows of 2^k lines, named by doubling.
 """
 
 from __future__ import annotations
@@ -66,58 +68,76 @@ def line_table(docs: DataFrame) -> DataFrame:
     return map_texts(docs.withColumn("key", F.xxhash64("text")), "text", ["doc_id", "key"], fields, factory)
 
 
-def windows(lines: DataFrame, wide: bool) -> DataFrame:
-    """A row for each window of 2^k lines: name, pos, and (wide) its document, lines and words before its ends."""
-    names = ["name", "pos"] + (["doc", "n", "s", "e", "w0", "w1"] if wide else [])
-    schema = "name long, pos long" + (", doc long, n int, s int, e int, w0 long, w1 long" if wide else "")
+def shortest(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(s, e) of the shortest windows of least words from and up to each line, and of those of two lines or more.
+
+    first and last are the bounds of each line's document.
+    """
+    i, before = np.arange(len(words)), np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    e = np.searchsorted(before, before[:-1] + least)
+    s = np.searchsorted(before, before[1:] - least, "right") - 1
+    starts, ends = np.concatenate([i, i, s, np.minimum(s, i - 1)]), np.concatenate([e, np.maximum(e, i + 2), i + 1, i + 1])
+    inside = (starts >= np.tile(first, 4)) & (ends <= np.tile(last, 4))
+    codes = np.unique(starts[inside] * (len(words) + 1) + ends[inside])
+    return codes // (len(words) + 1), codes % (len(words) + 1)
+
+
+def window_names(ids: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Names of the windows [s, e) of ids."""
+    length, out = e - s, np.zeros(len(s), np.uint64)
+    name, n = ids, 1
+    while len(s):
+        own = (length >= n) & (length < 2 * n)
+        out[own] = mixed(mixed(name[s[own]], name[e[own] - n]), length[own].astype(np.uint64))
+        if length.max() < 2 * n:
+            break
+        name, n = mixed(name[:-n], name[n:]), 2 * n
+    return out
+
+
+def windows(lines: DataFrame, wide: bool, min_words: int) -> DataFrame:
+    """A row for each shortest window: name, pos, and (wide) its document, lines and words before its ends."""
+    names = ["name", "pos"] + (["doc", "s", "e", "w0", "w1"] if wide else [])
+    kinds = [pa.int64(), pa.int64()] + ([pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()] if wide else [])
+    schema = "name long, pos long" + (", doc long, s int, e int, w0 long, w1 long" if wide else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(0, b.num_rows, 1024):
                 part = b.slice(row, 1024)
-                out: list[list[np.ndarray]] = [[] for _ in names]
-                starts = part.column(0).to_numpy()
-                ends = part.column(1).offsets.to_numpy()
-                flat = [part.column(c).values.to_numpy(zero_copy_only=False) for c in (1, 2, 3)]
-                for i, start in enumerate(starts):
-                    own = slice(ends[i], ends[i + 1])
-                    name, at = flat[0][own].view(np.uint64), flat[1][own]
-                    before = np.concatenate([[0], np.cumsum(flat[2][own], dtype=np.int64)])
-                    n, total = 1, len(name)
-                    while len(name):
-                        k = len(name)
-                        cols = [name.view(np.int64), start + np.arange(k)]
-                        if wide:
-                            cols += [np.full(k, start), np.full(k, n, np.int32), at[:k], at[n - 1 : n - 1 + k] + np.int32(1), before[:k], before[n : n + k]]
-                        for o, c in zip(out, cols, strict=True):
-                            o.append(c)
-                        if 2 * n > total:
-                            break
-                        name, n = mixed(name[:-n], name[n:]), 2 * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], names=names).cast(target(wide))
-
-    def target(wide: bool) -> pa.Schema:
-        kinds = [pa.int64(), pa.int64()] + ([pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()] if wide else [])
-        return pa.schema(list(zip(names, kinds, strict=True)))
+                starts, bounds = part.column(0).to_numpy(), part.column(1).offsets.to_numpy().astype(np.int64)
+                ids, at, words = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+                sizes, bounds = np.diff(bounds), bounds - bounds[0]
+                first, last = np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
+                s, e = shortest(words, first, last, min_words)
+                doc = np.repeat(starts, sizes)[s]
+                cols = [window_names(ids.view(np.uint64), s, e).view(np.int64), doc + s - first[s]]
+                if wide:
+                    before = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+                    cols += [doc, at[s], at[e - 1] + np.int32(1), before[s] - before[first[s]], before[e] - before[first[s]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return lines.select("start", "ids", "at", "words").mapInArrow(run, schema)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, runs): for each document with later copies, its runs (s, e, words), line numbers with the end exclusive."""
+    """(doc_id, key, runs): for each document with later copies, its runs (s, e, words), line numbers with the end exclusive.
+
+    Repeated runs that share a line are given as one.
+    """
     lines = line_table(docs).groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in ("ids", "at", "words")])
     lines = stage(lines.withColumn("lines", F.size("ids").cast("long") + 1), "lines")
     placed = place_by_bounds(lines.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "order", source=lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("order")))
     placed = stage(placed.withColumn("slot", F.spark_partition_id()), "placed-lines")
     placed = stage(running_total(placed, "slot", [F.col("order"), F.col("key")], "lines", "start").withColumn("start", F.col("start").cast("long")), "sequence")
-    first = windows(placed, False).groupBy("name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first")
+    first = windows(placed, False, min_words).groupBy("name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first")
     first = stage(first, "intervals")
-    hits = windows(placed, True).join(first, "name").filter("pos > first").withColumn("back", F.col("pos") - F.col("first"))
-    along = Window.partitionBy("doc", "back").orderBy("pos", "n")
-    hits = hits.withColumn("until", F.max(F.col("pos") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    hits = hits.withColumn("run", F.sum((F.col("until").isNull() | (F.col("pos") > F.col("until"))).cast("int")).over(along))
-    runs = hits.groupBy("doc", "back", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), (F.max("w1") - F.min("w0")).alias("words"))
-    runs = runs.filter(F.col("words") >= min_words).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e", "words"))).alias("runs"))
+    hits = windows(placed, True, min_words).join(first, "name").filter("pos > first")
+    along = Window.partitionBy("doc").orderBy("s", "e")
+    hits = hits.withColumn("until", F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    hits = hits.withColumn("run", F.sum((F.col("until").isNull() | (F.col("s") >= F.col("until"))).cast("int")).over(along))
+    runs = hits.groupBy("doc", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), (F.max("w1") - F.min("w0")).alias("words"))
+    runs = runs.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e", "words"))).alias("runs"))
     return runs.join(placed.select("doc_id", "key", F.col("start").alias("doc")), "doc").select("doc_id", "key", "runs")
 
 
