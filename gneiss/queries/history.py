@@ -244,7 +244,9 @@ EDGES = f"""{FACTS}, rel as (select a, b, 'temporal' as kind, weighted as score
 
 
 def related(spark, sf_dir) -> DataFrame:
-    return coupled(spark, sf_dir)[2].filter("support >= 14").select("a", "b", F.lit("temporal").alias("kind"), F.col("weighted").alias("score"))
+    """All temporal edges; the SQL of the queries that take them still has the bound of 14."""
+    whole = temporal_coupling(spark, sf_dir).select("a", "b")
+    return coupled(spark, sf_dir)[2].join(whole, ["a", "b"]).select("a", "b", F.lit("temporal").alias("kind"), F.col("weighted").alias("score"))
 
 
 @query(f"{COMMITS} select commit_id, kind, weight from commits where kind in ('release', 'merge', 'import')")
