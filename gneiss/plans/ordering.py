@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.session import shuffle_partitions
 from gneiss.staging import stage
 
 
-def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:
-    """At most parts - 1 ascending cut points of a numeric column (nulls are ignored)."""
-    if parts < 2:
-        return []
-    shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(F.col(key), shares, 20 * parts).alias("q")).first()["q"]
-    return sorted(set(found or []))
+def rank_among(cuts: list, key: Column) -> tuple[Column, Column]:
+    """How many ascending cut points are below key, and how many are not above it; two searches of about sqrt(cuts) steps."""
+    step = max(1, math.isqrt(len(cuts)))
+    heads, every = F.array(*map(F.lit, cuts[::step])), F.array(*map(F.lit, cuts))
+
+    def count(below) -> Column:
+        group = F.greatest(F.size(F.filter(heads, below)) - 1, F.lit(0)) * step
+        return group + F.size(F.filter(F.slice(every, group + 1, F.lit(step)), below))
+
+    return count(lambda c: c < key), count(lambda c: c <= key)
 
 
-def place_by_bounds(df: DataFrame, key: str, parts: int | None = None, source: DataFrame | None = None) -> DataFrame:
-    """df with partition i holding the i-th range of key, nulls first; source is a narrower table to take the cuts from."""
+def place_by_bounds(df: DataFrame, key: str, parts: int | None = None, source: DataFrame | None = None, tie: Column | None = None) -> DataFrame:
+    """df with partition i holding the i-th range of (key, tie), nulls first; source is a narrower table to take the cuts from.
+
+    key is numeric; tie is a hash that orders rows of equal key. A key that
+    holds several shares of all rows, null included, is spread over as many
+    partitions by its tie.
+    """
     parts = parts or shuffle_partitions(df.sparkSession)
-    cuts = quantile_bounds(df if source is None else source, key, parts)
-    if not cuts:
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    row = (df if source is None else source).agg(F.percentile_approx(F.col(key), shares, 20 * parts).alias("q"), F.count("*").alias("n"), F.count(key).alias("known")).first()
+    cuts = sorted(row["q"] or []) if parts > 1 else []
+    nulls = -(-(row["n"] - row["known"]) * parts // max(row["n"], 1))
+    if not row["n"]:
         return df.repartitionById(1, F.lit(0))
-    array = F.array(*[F.lit(c) for c in cuts])
-    slot = F.coalesce(F.size(F.filter(array, lambda c: c <= F.col(key))), F.lit(0))
-    return df.repartitionById(len(cuts) + 1, slot)
+    at = F.lit(0.0) if tie is None else (tie / 2.0**64 + 0.5) * 0.999999
+    low, high = rank_among(cuts, F.col(key)) if cuts else (F.lit(0), F.lit(0))
+    wide = high - low
+    slot = F.when(wide <= 1, high).otherwise(low + 1 + F.floor(at * wide).cast("int")) + nulls
+    slot = F.when(F.col(key).isNull(), F.floor(at * nulls).cast("int")).otherwise(slot)
+    return df.repartitionById(len(cuts) + 1 + nulls, slot)
 
 
-def running_total(df: DataFrame, slot: str, order: list[Column], value: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, slot: str, order: list[Column], value: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Adds out: the sum of value over all rows before this one in the order of (slot, order).
 
     slot numbers the range partitions of df; only their totals, one row a
-    partition, meet in one place.
+    partition, meet in one place. source is a cheaper table of the same slots
+    and values to take the totals from.
     """
-    totals = df.groupBy(slot).agg(F.sum(value).alias("__total"))
+    totals = (df if source is None else source).groupBy(slot).agg(F.sum(value).alias("__total"))
     before = totals.select(
         F.col(slot).alias("__slot"),
         F.coalesce(F.sum("__total").over(Window.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
