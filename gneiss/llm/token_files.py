@@ -8,6 +8,7 @@ lengths alone, or the ids of a few documents.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,23 +33,23 @@ LAYOUT = {
     "parquet.page.write-checksum.enabled": "true",
     "compression": "zstd",
 }
-#: Distinct words, and stems without their closing marks, whose ids a worker remembers.
-REMEMBERED = 400_000
-
-
-MARKS = ".,;:!?|"
+#: Distinct words whose ids a worker remembers in each of two generations; a word that does not come back is forgotten.
+REMEMBERED = 300_000
+#: Characters that the pre-tokenizer never joins to a letter before them.
+MARKS = string.punctuation
 
 
 class Unsafe(Exception):
-    """A space follows white space, so the text is not cut there."""
+    """White space stands next to white space, so the text is not cut there."""
 
 
 class WordTokenizer:
     """Whole-text ids from a byte-level BPE tokenizer, remembered word by word.
 
     The pre-tokenizer always cuts before a space that follows a character other
-    than white space, and never looks back over that cut, so the ids of a text
-    are those of its words (each with the space before it) in a row. A word of
+    than white space, and on both sides of a line feed between two such
+    characters, and never looks back over those cuts, so the ids of a text are
+    those of its words (each with the space before it) in a row. A word of
     letters and closing marks is cut between the two by the same pre-tokenizer.
     """
 
@@ -56,13 +57,19 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         #: A byte-level vocabulary writes visible Latin-1 bytes as themselves and the others, in order, as 256 and up.
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_chars = [chr(b if b in visible else 256 + hidden.index(b)) for b in range(256)]
+        self.blank = self.byte_chars[32]
+        #: Ids of a space and a word, and of what starts a line or closes a word; a generation that is full makes way.
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.old_bare: dict[str, bytes] = {}
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= )")
+        self.line_feed = self.direct("\n")
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -70,43 +77,72 @@ class WordTokenizer:
     def direct(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, text: str) -> bytes:
+    def piece(self, text: str, space: str) -> bytes:
         """The ids of a text that the pre-tokenizer leaves whole: merged directly, without offsets."""
-        found = self.stems.get(text)
-        if found is None:
-            found = self.pack([t.id for t in self.tokenizer.model.tokenize("".join([self.byte_chars[b] for b in text.encode()]))])
-            if len(self.stems) < REMEMBERED and len(text) < 64:
-                self.stems[text] = found
-        return found
+        if not text.isascii():
+            text = "".join([self.byte_chars[b] for b in text.encode()])
+        return self.pack([t.id for t in self.merge(space + text)])
 
     def look(self, word: str) -> bytes:
         """The ids of a space and a word."""
-        if not word or word[-1].isspace():
+        if word in self.old_words:
+            found = self.old_words[word]
+        elif not word or word[-1].isspace():
             raise Unsafe
-        head = word.rstrip(MARKS)
-        if head.isalpha() and max(head) < "\u0530":  # letters in every version of Unicode
-            found = self.piece(" " + head)
-            if len(head) < len(word):
-                found += self.piece(word[len(head) :])
         else:
-            found = self.direct(" " + word)
-        if len(self.words) < REMEMBERED and len(word) < 64:
+            head = word.rstrip(MARKS)
+            if not head.isalpha() or not head.isascii() and max(head) >= "\u0530":  # letters in every version of Unicode
+                found = self.direct(" " + word)
+            elif len(head) < len(word):
+                tail = word[len(head) :]
+                found = (self.words.get(head) or self.look(head)) + (self.bare.get(tail) or self.look_bare(tail))
+            else:
+                found = self.piece(word, self.blank)
+        if len(word) < 64:
             self.words[word] = found
         return found
 
+    def look_bare(self, word: str) -> bytes:
+        """The ids of a word after a line feed, or of closing marks."""
+        if word in self.old_bare:
+            found = self.old_bare[word]
+        elif not word or word[0].isspace() or word[-1].isspace():
+            raise Unsafe
+        else:
+            head = word.rstrip(MARKS)
+            if head and (not head.isalpha() or not head.isascii() and max(head) >= "\u0530"):
+                found = self.direct(word)
+            elif head and len(head) < len(word):
+                tail = word[len(head) :]
+                found = self.piece(head, "") + (self.bare.get(tail) or self.look_bare(tail))
+            else:
+                found = self.piece(word, "") if head else self.direct(word)
+        if len(word) < 64:
+            self.bare[word] = found
+        return found
+
+    def age(self) -> None:
+        """Lets go of what a generation has not met again."""
+        if len(self.words) > REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        if len(self.bare) > REMEMBERED // 4:
+            self.bare, self.old_bare = {}, self.bare
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if rest and first:
-            last = rest.pop()
-            get, look = self.words.get, self.look
-            try:
-                return self.direct(first) + b"".join([get(w) or look(w) for w in rest]) + (get(last) or self.direct(" " + last))
-            except Unsafe:
-                pass
-        return b"".join(map(self.direct, self.cut.split(text)))
+        self.age()
+        get, look, bare, look_bare = self.words.get, self.look, self.bare.get, self.look_bare
+        lines = []
+        try:
+            for line in text.split("\n"):
+                first, *words = line.split(" ")
+                ids = [get(w) or look(w) for w in words]
+                lines.append((bare(first) or look_bare(first)) + b"".join(ids))
+            return self.line_feed.join(lines)
+        except Unsafe:
+            return b"".join(map(self.direct, self.cut.split(text)))
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     other than the two named are not read.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    placed = place_by_bounds(source, "doc_id", source=source.select("doc_id"))
+    placed = place_by_bounds(source, "doc_id", source=source.select("doc_id"), tie=F.xxhash64("text"))
     placed = placed.withColumn("part", F.spark_partition_id()).withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie")
     rows = tokenize(placed, path, end_id, keep=("doc_id", "part", "tie"))
     rows.select("doc_id", "part", "tie", F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**LAYOUT).parquet(folder)
@@ -183,5 +219,6 @@ def token_digest(docs: DataFrame, path: str, end_id: int = 0, folder: str | None
     folder = folder or staged_path(spark, "tokens")
     write_token_files(docs, folder, path, end_id)
     sums = checksums(spark.read.schema(TOKEN_SCHEMA).parquet(folder), ["doc_id", "part", "tie"])
-    rows = running_total(sums, "part", [F.col("doc_id").asc_nulls_first(), F.col("tie")], "n_ids", "start")
+    lengths = spark.read.schema(TOKEN_SCHEMA).parquet(folder).select("part", F.col("n_tokens").alias("n_ids"))
+    rows = running_total(sums, "part", [F.col("doc_id").asc_nulls_first(), F.col("tie")], "n_ids", "start", lengths)
     return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")

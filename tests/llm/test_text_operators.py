@@ -128,7 +128,7 @@ def test_token_words_match_whole_texts():
 
     tok, words, r = Tokenizer.from_file(vocabulary(BYTE_BPE)), WordTokenizer(vocabulary(BYTE_BPE)), random.Random(5)
     for _ in range(4000):
-        t = "".join(r.choice([" ", " ", "\n", "\t", "a", "Foo", "'s", ",", ".", "12", "é", "\xa0", "　", "中", "|", "<|endoftext|>", "\x1c", "\x85", "😀"]) for _ in range(r.randint(0, 14)))
+        t = "".join(r.choice([" ", " ", "\n", "\n", "\r", "$", "-", "\t", "a", "Foo", "'s", "'", ",", ".", "12", "é", "\xa0", "　", "中", "|", "<|endoftext|>", "\x1c", "\x85", "😀"]) for _ in range(r.randint(0, 14)))
         assert words.encode(t) == words.pack(tok.encode(t, add_special_tokens=False).ids), repr(t)
 
 
