@@ -6,45 +6,32 @@ import re
 import pytest
 
 from gneiss.llm.queries import PIECE_BPE, QUERIES, vocabulary
-from tests.llm.test_text_operators import components, empty, fingerprint, odd, plain_quality, texts  # noqa: F401
+from tests.llm.test_similar_texts import similar_heads
+from tests.llm.test_text_operators import empty, odd, texts  # noqa: F401
 
 
 def plain_dedup(rows, least=50):
-    """{(doc_id, text): text without later copies of runs}, from all windows of 2^k lines compared one by one."""
+    """{(doc_id, text): text without later copies of runs}, from the longest common run of every two places with equal lines."""
     docs = sorted({(d, t) for d, t in rows}, key=lambda r: (r[0] is None, r[0] or 0))
-    first, out = {}, {}
-    spans = []
-    at = 0
+    spans, lines = [], []
     for d, t in docs:
-        lines = [(i, tuple(x.split())) for i, x in enumerate(re.sub(r"[\x09\x0B-\x0D\x20]", " ", t).split("\n"))]
-        own = [(i, w) for i, x in lines if (w := tuple(p for p in x if p))]
-        spans.append((d, t, at, own))
-        at += len(own) + 1
-    for *_, start, own in spans:
-        n = 1
-        while n <= len(own):
-            for p in range(len(own) - n + 1):
-                first.setdefault(tuple(w for _, w in own[p : p + n]), start + p)
-            n *= 2
+        split = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in t.split("\n")]
+        own = [(i, tuple(w)) for i, w in enumerate(split) if w]
+        spans.append((d, t, len(lines), own))
+        lines += [w for _, w in own] + [None]
+    places, longest, after = {}, [0] * len(lines), {}
+    for p, w in enumerate(lines):
+        places.setdefault(w, []).append(p)
+    for p in range(len(lines) - 1, -1, -1):
+        here = {q: 1 + after.get(q + 1, 0) for q in places[lines[p]] if q < p} if lines[p] else {}
+        longest[p], after = max(here.values(), default=0), here
+    out = {}
     for d, t, start, own in spans:
-        hits, n = {}, 1
-        while n <= len(own):
-            for p in range(len(own) - n + 1):
-                q = first[tuple(w for _, w in own[p : p + n])]
-                if q < start + p:
-                    hits.setdefault(start + p - q, set()).add((p, p + n))
-            n *= 2
         gone = set()
-        for pieces in hits.values():
-            merged = []
-            for a, b in sorted(pieces):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                if sum(len(w) for _, w in own[a:b]) >= least:
-                    gone |= set(range(own[a][0], own[b - 1][0] + 1))
+        for k in range(len(own)):
+            n = longest[start + k]
+            if n and sum(len(w) for _, w in own[k : k + n]) >= least:
+                gone |= set(range(own[k][0], own[k + n - 1][0] + 1))
         out[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
     return out
 
@@ -99,10 +86,11 @@ def test_pipeline_stages(spark, where, request, tmp_path):
     plain = plain_dedup(pairs[1])
     want = [(d, plain[d, t]) for d, t in pairs[1] if plain[d, t].split()]
     assert sorted(pairs[2], key=str) == sorted(want, key=str)
-    groups = {}
-    for d, f, c in components([(d, fingerprint(t)) for d, t in pairs[2]]):
-        groups.setdefault(c, set()).add(d)
-    assert len(pairs[3]) == len(groups) and {d for d, _ in pairs[3]} == set(groups) and set(pairs[3]) <= set(pairs[2])
+    heads = {}
+    for (d, _), head in zip(pairs[2], similar_heads([t for _, t in pairs[2]]), strict=True):
+        heads.setdefault(head, []).append(d)
+    least = [min(own, key=lambda d: (d is None, d or 0)) for own in heads.values()]
+    assert sorted((d for d, _ in pairs[3]), key=str) == sorted(least, key=str) and set(pairs[3]) <= set(pairs[2])
     assert set(pairs[4]) <= set(pairs[3])
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     total = sum(size(t) for _, t in pairs[3])
