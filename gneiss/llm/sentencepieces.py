@@ -23,7 +23,7 @@ from gneiss.llm.arrow import map_texts
 
 SPACE = "▁"
 #: Distinct words, and half as many stems without their closing marks, that a worker remembers in each of two generations.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 MARKS = ".,;:!?"
 FIRST = itemgetter(0)
 SECOND = itemgetter(1)
@@ -57,7 +57,12 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         #: Closing marks that no piece joins to a letter before them: a word can be cut there.
         self.marks = "".join(c for c in MARKS if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids))
+        #: A line feed that no piece holds is written as a byte, and nothing is merged across it.
+        self.cut_lines = not any("\n" in p for p in self.ids)
+        self.line_feed = [self.bytes[10]]
         self.pairs: dict[int, bool] = {}
+        #: At most two entries a token.
+        self.spines: dict[tuple[int, bool], list[tuple[str, float]]] = {}
         self.alone = [i in own and self.merged(p) == [i] for own in [set(self.ids.values())] for i, p in enumerate(self.pieces)]
         self.words: dict[str, tuple[list[int], str]] = {}
         self.old_words: dict[str, tuple[list[int], str]] = {}
@@ -75,13 +80,45 @@ class PrefixEncoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [ids[p] for p in parts]
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        found = self.pairs.get(key)
+    def spine(self, token: int, right: bool) -> list[tuple[str, float]]:
+        """The pieces that stand at one end of a token while it is put together, each with the score of the merge that ends it."""
+        key = token, right
+        found = self.spines.get(key)
         if found is None:
-            found = self.pairs[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+            parts, ids, scores, out = list(self.pieces[token]), self.ids, self.scores, []
+            own = -1 if right else 0
+            while len(parts) > 1:
+                score, k = max((scores[i], -k) for k in range(len(parts) - 1) if (i := ids.get(parts[k] + parts[k + 1])) is not None)
+                k = -k
+                if k == (len(parts) - 2 if right else 0):
+                    out.append((parts[own], score))
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            found = self.spines[key] = [*out, (parts[0], float("-inf"))]
         return found
 
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether the two tokens next to each other stay as they are: no piece across their border is merged before its two parts have gone.
+
+        Merges happen in the order of their scores, the leftmost first; both
+        tokens must be what their own text is encoded to.
+        """
+        if not (self.alone[left] and self.alone[right]):
+            return False
+        ids, scores = self.ids, self.scores
+        ends, starts = self.spine(left, True), self.spine(right, False)
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = ends[i], starts[j]
+            across = ids.get(x + y)
+            if across is not None and scores[across] > x_ends and scores[across] >= y_ends:
+                return False
+            if x_ends >= y_ends:
+                i += 1
+                if i == len(ends):
+                    return True
+            else:
+                j += 1
+
     def known(self, text: str) -> list[int]:
         """The ids of a text whose characters are all in the vocabulary."""
         last = [-1] * (len(text) + 1)
@@ -97,7 +134,7 @@ class PrefixEncoder:
                     continue
                 fits = pairs(before << 32 | token)
                 if fits is None:
-                    fits = compatible(before, token)
+                    fits = self.pairs[before << 32 | token] = compatible(before, token)
             else:
                 fits = alone[token]
             if fits:
@@ -132,13 +169,20 @@ class PrefixEncoder:
                 self.stems[text] = found
         return found
 
+    def part(self, space: str, word: str) -> list[int]:
+        """The ids of a word up to a line's end, with the space before it if it has one."""
+        head = word.rstrip(self.marks)
+        return self.stem(space + head) + self.stem(word[len(head) :]) if head and head[-1].isalpha() else self.chunk(space + word)
+
     def look(self, word: str) -> tuple[list[int], str]:
         """The entry of a space and a word."""
         if (entry := self.old_words.get(word)) is not None:
             self.words[word] = entry
             return entry
-        head = word.rstrip(self.marks)
-        ids = self.stem(SPACE + head) + self.stem(word[len(head) :]) if head and head[-1].isalpha() else self.chunk(SPACE + word)
+        first, *more = word.split("\n") if self.cut_lines else [word]
+        ids = self.part(SPACE, first)
+        for line in more:
+            ids = ids + self.line_feed + self.part("", line)
         entry = (ids, " ".join(map(str, ids)))
         if len(word) < 64:
             self.words[word] = entry
@@ -146,6 +190,8 @@ class PrefixEncoder:
 
     def age(self) -> None:
         """Lets go of what a generation has not met again."""
+        if len(self.pairs) > REMEMBERED:
+            self.pairs = {}
         if len(self.words) > REMEMBERED:
             self.words, self.old_words = {}, self.words
         if len(self.stems) > REMEMBERED // 2:
