@@ -23,7 +23,7 @@ class Config:
     late_days: int = 30
     maintainer_days: int = 90
     weights: tuple[float, float, float] = (0.6, 0.2, 0.2)
-    candidate_limit: int = 500
+    candidate_limit: int | None = 500
     structural_tokens: tuple[int, int] = (300, 50000)
     shingle: int = 8
     step: int = 32

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gneiss.functions import udfs
+
 #: How a comment line starts in each language; // elsewhere.
 COMMENTS = {"#": ("Python", "Ruby", "Shell", "YAML", "TOML"), "<!--": ("Markdown",)}
 #: What marks a test inside a source file.
@@ -37,31 +39,17 @@ def lines(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(clean, r"\n\z", ""), "\n"))
 
 
-def line_counts(text: Column, language: Column) -> Column:
-    """struct(total, code, comment, blank); block comments run from a line that starts one to the line that ends it."""
+def text_lines(text: Column, language: Column) -> Column:
+    """struct(total, code, comment, blank, prose, fenced) of a text's lines, in one pass over each text.
+
+    Block comments run from a line that starts one to the line that ends it;
+    prose and fenced lines are those outside and inside of Markdown fences,
+    which count as neither. A null text has no lines.
+    """
     mark = F
     for start, names in COMMENTS.items():
         mark = mark.when(language.isin(*names), start)
-    mark = mark.otherwise("//")
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("total", "code", "comment", "blank")], F.lit(False).alias("inside"))
-
-    def step(acc: Column, line: Column) -> Column:
-        bare = F.trim(F.regexp_replace(line, r"[\t\r\f\x0B]", " "))
-        blank = bare == ""
-        starts = bare.startswith("/*")
-        own = ~blank & ~acc["inside"] & F.startswith(bare, mark)
-        opens = ~blank & ~acc["inside"] & ~F.startswith(bare, mark) & starts
-        comment = ~blank & (acc["inside"] | own | opens)
-        inside = F.when(blank, acc["inside"]).when(acc["inside"] | opens, ~F.contains(bare, F.lit("*/"))).otherwise(False)
-        return F.struct(
-            (acc["total"] + 1).alias("total"),
-            (acc["code"] + (~blank & ~comment).cast("long")).alias("code"),
-            (acc["comment"] + comment.cast("long")).alias("comment"),
-            (acc["blank"] + blank.cast("long")).alias("blank"),
-            inside.alias("inside"),
-        )
-
-    return F.aggregate(lines(text), zero, step, lambda a: F.struct(a["total"].alias("total"), a["code"].alias("code"), a["comment"].alias("comment"), a["blank"].alias("blank")))
+    return udfs.count_lines(text, mark.otherwise("//"))
 
 
 def generated_marker(text: Column) -> Column:
@@ -69,21 +57,6 @@ def generated_marker(text: Column) -> Column:
     return F.exists(F.slice(lines(text), 1, 3), lambda x: F.lower(F.trim(x)).rlike(r"^(#|//|/\*) @generated"))
 
 
-def fenced_lines(text: Column) -> Column:
-    """struct(prose, fenced) of Markdown lines; fence lines count as neither."""
-    zero = F.struct(F.lit(0).cast("long").alias("prose"), F.lit(0).cast("long").alias("fenced"), F.lit(False).alias("inside"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fence = F.ltrim(line).startswith("```")
-        return F.struct(
-            (acc["prose"] + (~fence & ~acc["inside"]).cast("long")).alias("prose"),
-            (acc["fenced"] + (~fence & acc["inside"]).cast("long")).alias("fenced"),
-            F.when(fence, ~acc["inside"]).otherwise(acc["inside"]).alias("inside"),
-        )
-
-    return F.aggregate(lines(text), zero, step, lambda a: F.struct(a["prose"].alias("prose"), a["fenced"].alias("fenced")))
-
-
 def inline_tests(text: Column, language: Column) -> Column:
     found = F.lit(False)
     for names, marks in INLINE_TESTS.items():

@@ -79,15 +79,57 @@ def content_tokens(text: pd.Series) -> pd.Series:
     return pd.Series([content_tokens_of(t or "") for t in text])
 
 
+LINE_FACTS = ("total", "code", "comment", "blank", "prose", "fenced")
+
+
+def count_lines_of(text: str, mark: str) -> tuple[int, ...]:
+    """The line facts of one text whose comment lines start with mark."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    if lines[-1] == "":
+        lines.pop()
+    code = comment = blank = fenced = fences = 0
+    in_comment = in_fence = False
+    for line in lines:
+        bare = line.strip(" \t\r\f\v")
+        if not bare:
+            blank += 1
+        elif in_comment:
+            comment += 1
+            in_comment = "*/" not in bare
+        elif bare.startswith(mark):
+            comment += 1
+        elif bare.startswith("/*"):
+            comment += 1
+            in_comment = "*/" not in bare
+        else:
+            code += 1
+        if line.lstrip(" ").startswith("```"):
+            fences += 1
+            in_fence = not in_fence
+        elif in_fence:
+            fenced += 1
+    return len(lines), code, comment, blank, len(lines) - fences - fenced, fenced
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in LINE_FACTS]))
+def count_lines(text: pa.Array, mark: pa.Array) -> pa.Array:
+    rows = [count_lines_of(t or "", m) for t, m in zip(text.to_pylist(), mark.to_pylist(), strict=True)]
+    columns = list(zip(*rows, strict=True)) or [()] * len(LINE_FACTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(LINE_FACTS))
+
+
 def looks_binary_of(data: bytes) -> bool:
-    """A NUL in the first 4,096 bytes, or over 1 % control bytes at the head, middle and tail; byte-order marks are text."""
+    """A NUL in the first 4,096 bytes, or over 1 % control bytes in windows at the head, middle and tail; byte-order marks are text.
+
+    Tabs and line ends are no control bytes; a byte that several windows cover counts in each.
+    """
     if not data or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return False
     if b"\x00" in data[:4096]:
         return True
-    middle = len(data) // 2
-    sample = data if len(data) <= 12288 else data[:4096] + data[middle - 2048 : middle + 2048] + data[-4096:]
-    control = sum(b < 32 and b not in (9, 10, 12, 13) or b == 127 for b in sample)
+    middle = max(len(data) // 2 - 2048, 0)
+    sample = data[:4096] + data[middle : middle + 4096] + data[-4096:]
+    control = sum(b < 32 and b not in (9, 10, 13) for b in sample)
     return control * 100 > len(sample)
 
 

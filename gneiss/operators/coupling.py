@@ -92,6 +92,7 @@ def pagerank(kept: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFr
     Edges are weighted by support and staged once; ranks are staged every five
     rounds, so no plan holds more than five joins.
     """
+    kept = stage(kept, "kept")
     total = kept.groupBy("src").agg(F.sum("support").alias("total"))
     nodes = stage(total.select(F.col("src").alias("node")), "nodes")
     n = nodes.count()

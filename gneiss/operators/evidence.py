@@ -54,14 +54,14 @@ def merged_clusters(rows: DataFrame) -> DataFrame:
 
 
 def verification_near(files: DataFrame, limit: int = 5) -> DataFrame:
-    """(path, check, position): verification paths that hold a file's name, the first by path."""
+    """(path, check_path, position): verification paths that hold a file's name, the first by path."""
     from pyspark.sql import Window
 
     checks = files.filter(is_verification(F.col("path"))).select(F.col("path").alias("test"), F.lower("path").alias("low"))
     rows = files.select("path", F.lower(name_stem(F.col("path"))).alias("needle")).filter("needle <> ''")
     found = containing(rows.select("needle").distinct(), checks)
     found = found.withColumn("position", F.row_number().over(Window.partitionBy("needle").orderBy("test"))).filter(F.col("position") <= limit)
-    return rows.join(found, "needle").select("path", F.col("test").alias("check"), "position")
+    return rows.join(found, "needle").select("path", F.col("test").alias("check_path"), "position")
 
 
 def folder_trigger(tokens: Column, files: Column, cfg: Config) -> Column:
@@ -80,7 +80,7 @@ def mismatches(base: dict, head: dict, fields: tuple[str, ...], harmless: tuple[
     return [(f, f not in harmless) for f in fields if base.get(f) != head.get(f)]
 
 
-def lineage(renames: DataFrame, paths: DataFrame, max_rounds: int = 100) -> DataFrame:
+def lineage(renames: DataFrame, paths: DataFrame) -> DataFrame:
     """(name, current, after): what a path was called before, for touches further back in the log than after.
 
     renames: seq (0 the newest), old, new. A chain of renames is followed from
@@ -89,7 +89,7 @@ def lineage(renames: DataFrame, paths: DataFrame, max_rounds: int = 100) -> Data
     """
     front = stage(paths.select(F.col("path").alias("name"), F.col("path").alias("current"), F.lit(-1).cast("long").alias("after")), "aliases")
     found = [front]
-    for _ in range(max_rounds):
+    while True:
         step = front.join(renames, F.col("new") == F.col("name")).filter(F.col("seq") > F.col("after")).select(F.col("old").alias("name"), "current", F.col("seq").alias("after")).distinct()
         front = stage(step, "aliases")
         if front.isEmpty():

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gneiss.config import Config
 from gneiss.functions.numeric import clip, half_away, half_even, log_share, nearest_rank
 from gneiss.functions.paths import root
+from gneiss.staging import stage
 
 DAY = 86_400
 
@@ -43,7 +44,7 @@ def author_stats(churn: DataFrame, since: int) -> DataFrame:
 def history_metrics(touches: DataFrame, tracked: DataFrame, now: int, cfg: Config) -> DataFrame:
     """The window's metrics of every tracked path; paths without touches have zeros."""
     since = now - cfg.window_days * DAY
-    churn = commit_path_churn(touches.filter(F.col("ts") >= since), tracked)
+    churn = stage(commit_path_churn(touches.filter(F.col("ts") >= since), tracked), "churn")
     late = (F.col("ts") != 0) & (F.col("ts") >= now - cfg.late_days * DAY)
     metrics = churn.groupBy("path").agg(
         F.count("*").alias("revisions"),
@@ -73,9 +74,9 @@ def commits(touches: DataFrame) -> DataFrame:
     churn = F.col("added") + F.col("deleted")
     mechanical = F.lower("path").rlike(r"\.lock$|-lock\.json$|generated|snapshot|vendor/")
     by_path = touches.groupBy("commit_id", "path").agg(*[F.max(c).alias(c) for c in ("ts", "subject", "parents", "status")], F.sum(churn).alias("churn"))
-    weighed = by_path.join(by_path.groupBy("commit_id").agg(F.sum("churn").alias("all")), "commit_id")
-    share = F.try_divide("churn", "all")
-    rows = weighed.groupBy("commit_id").agg(
+    some, everything = F.col("churn") > 0, F.sum("churn")
+    entropy = F.when(everything > 0, F.log2(everything) - F.sum(F.when(some, F.col("churn") * F.log2("churn"))) / everything)
+    rows = by_path.groupBy("commit_id").agg(
         F.max("ts").alias("ts"),
         F.max("subject").alias("subject"),
         F.max("parents").alias("parents"),
@@ -84,7 +85,7 @@ def commits(touches: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "A").alias("n_added"),
         F.count_if(mechanical).alias("n_mechanical"),
         F.sum(F.ceil(F.greatest("churn", F.lit(1)) / 20)).alias("hunks"),
-        half_away(F.coalesce(-F.sum(F.when(share > 0, share * F.log2(share))), F.lit(0.0))).alias("entropy"),
+        half_away(F.greatest(F.coalesce(entropy, F.lit(0.0)), F.lit(0.0))).alias("entropy"),
     )
     subject, n, added = F.lower("subject"), F.col("n_files"), F.col("n_added")
     release = subject.rlike("release|^bump version|^chore: version")

@@ -62,8 +62,8 @@ def text_facts(files: DataFrame) -> DataFrame:
     """Line counts, fenced lines, inline tests and generated markers of every file."""
     language = paths.language(F.col("path"))
     body = F.col("text")
-    counted = files.withColumn("c", texts.line_counts(body, language)).withColumn("f", texts.fenced_lines(body))
-    return counted.select("path", "c.total", "c.code", "c.comment", "c.blank", "f.prose", "f.fenced", texts.inline_tests(body, language).alias("inline_tests"), texts.generated_marker(body).alias("generated"))
+    counted = files.withColumn("c", texts.text_lines(body, language))
+    return counted.select("path", "c.*", texts.inline_tests(body, language).alias("inline_tests"), texts.generated_marker(body).alias("generated"))
 
 
 def apply_overrides(files: DataFrame, overrides: list[tuple[str, str | None, str | None]]) -> DataFrame:

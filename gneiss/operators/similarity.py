@@ -9,19 +9,23 @@ from gneiss.functions import text as texts
 from gneiss.functions.numeric import half_away
 from gneiss.functions.paths import DERIVED, classification, root
 from gneiss.plans.components import connected_components
+from gneiss.session import shuffle_partitions
+from gneiss.staging import stage
 
 
 def candidates(files: DataFrame, cfg: Config) -> DataFrame:
-    """The largest files by structural tokens that are not derived; the limit is the operator's own."""
+    """The largest files by structural tokens that are not derived; cfg.candidate_limit is the operator's own, None takes all."""
     low, high = cfg.structural_tokens
     rows = files.select("path", "text", classification(F.col("path")).alias("classification"), F.size(texts.ascii_tokens(F.col("text"))).alias("n_tokens"))
     rows = rows.filter(~F.col("classification").isin(*DERIVED) & F.col("n_tokens").between(low, high))
-    return rows.orderBy(F.desc("n_tokens"), "path").limit(cfg.candidate_limit)
+    return rows if cfg.candidate_limit is None else rows.orderBy(F.desc("n_tokens"), "path").limit(cfg.candidate_limit)
 
 
 def shingled(files: DataFrame, cfg: Config) -> DataFrame:
-    rows = files.select("path", F.sha2("text", 256).alias("fingerprint"), texts.shingles(texts.ascii_tokens(F.col("text")), cfg.shingle, cfg.step).alias("shingles"))
-    return rows
+    """path, fingerprint and shingles of every file; each text is split into tokens once."""
+    tokens = files.repartition(shuffle_partitions(files.sparkSession), "path").select("path", F.sha2("text", 256).alias("fingerprint"), texts.ascii_tokens(F.col("text")).alias("tokens"))
+    rows = stage(tokens, "tokens").select("path", "fingerprint", texts.shingles(F.col("tokens"), cfg.shingle, cfg.step).alias("shingles"))
+    return stage(rows, "shingles")
 
 
 def duplicate_pairs(rows: DataFrame, cfg: Config) -> DataFrame:

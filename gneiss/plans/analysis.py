@@ -53,7 +53,7 @@ def analyze(files: DataFrame, touches: DataFrame, now: int, cfg: Config | None =
     rows = facts.drop("text", "context_pressure").join(metrics, "path", "left").join(seen, "path", "left").fillna({"age_days": 0})
     rows = scoring.scored(rows, cfg, reliable)
     chosen = similarity.candidates(files, cfg)
-    terms = stage(similarity.top_terms(chosen, cfg), "terms")
+    terms = stage(similarity.top_terms(files, cfg), "terms")
     for more in (spread, overlays.navigation(facts), overlays.stewardship(rows), overlays.dispersion(terms, n_files, cfg)):
         rows = rows.join(more, "path", "left")
     rows = stage(rows, "facts")

@@ -49,7 +49,7 @@ CHECKED = "case doc_id % 3 when 0 then 'src/part_' || doc_id % 50 || '.rs' when
 
 @query(f"""with p as (select distinct {CHECKED} as path from documents), f as (select path, lower(regexp_replace(regexp_replace(split_part(list_last(string_split(path, '/')), '.', 1), '^(test_)+', ''), '(_test)+$', '')) as stem from p), c as (select path as chk, lower(path) as low from p where path like 'scripts/%'),
 k as (select stem, chk, row_number() over (partition by stem order by chk) as position from (select distinct stem from f) join c on contains(low, stem))
-select path, chk as "check", position from f join k using (stem) where position <= 5""")
+select path, chk as check_path, position from f join k using (stem) where position <= 5""")
 def verification_near(spark, sf_dir):
     files = fx.table(spark, sf_dir, "documents").select(F.expr(CHECKED).alias("path")).distinct()
     return evidence.verification_near(files)

@@ -86,29 +86,37 @@ def verification_path(spark, sf_dir):
 
 
 @query(f"""{BASE}, l as (select path, {LANG} as language, text, unnest({LINES}) as line from files),
-m as (select path, language, trim(line, ' ' || chr(9) || chr(13)) as bare from l)
-select path, count(*) as total, count(*) filter (bare <> '' and not starts) as code, count(*) filter (bare <> '' and starts) as comment, count(*) filter (bare = '') as blank
-from (select *, case when language in ('Python') then bare like '#%' when language = 'Markdown' then bare like '<!--%' else bare like '//%' end or bare like '/*%' as starts from m) group by path""")
+m as (select path, language, trim(line, ' ' || chr(9) || chr(13)) as bare from l),
+c as (select path, count(*) as total, count(*) filter (bare <> '' and not starts) as code, count(*) filter (bare <> '' and starts) as comment, count(*) filter (bare = '') as blank
+from (select *, case when language in ('Python') then bare like '#%' when language = 'Markdown' then bare like '<!--%' else bare like '//%' end or bare like '/*%' as starts from m) group by path)
+select path, coalesce(total, 0) as total, coalesce(code, 0) as code, coalesce(comment, 0) as comment, coalesce(blank, 0) as blank from files left join c using (path)""")
 def line_counts(spark, sf_dir):
-    return inventory.text_facts(fx.files(spark, sf_dir)).select("path", "total", "code", "comment", "blank").filter("total > 0")
+    return inventory.text_facts(fx.files(spark, sf_dir)).select("path", "total", "code", "comment", "blank")
 
 
-FENCED = "replace(text, '. ', case doc_id % 2 when 0 then '.' || chr(10) || '```' || chr(10) else '.' || chr(10) end)"
+FENCED = "replace(coalesce(text, ''), '. ', case doc_id % 2 when 0 then '.' || chr(10) || '```' || chr(10) else '.' || chr(10) end)"
 
 
-@query(f"""with f as (select doc_id, {FENCED} as text from documents), l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from f),
-g as (select *, ltrim(line) like '```%' as fence, sum((ltrim(line) like '```%')::int) over (partition by doc_id order by i) % 2 = 1 as inside from l)
-select doc_id, count(*) filter (not fence and not inside) as prose, count(*) filter (not fence and inside) as fenced from g group by 1""")
+@query(f"""with f as (select doc_id, {FENCED} as text from documents), l as (select doc_id, generate_subscripts({LINES}, 1) as i, unnest({LINES}) as line from f),
+g as (select *, ltrim(line) like '```%' as fence, sum((ltrim(line) like '```%')::int) over (partition by doc_id order by i) % 2 = 1 as inside from l),
+c as (select doc_id, count(*) filter (not fence and not inside) as prose, count(*) filter (not fence and inside) as fenced from g group by 1)
+select doc_id, coalesce(prose, 0) as prose, coalesce(fenced, 0) as fenced from f left join c using (doc_id)""")
 def structural_categories(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").filter("text not like '%\n'").select("doc_id", F.expr(FENCED.replace("chr(10)", "'\\n'")).alias("text"))
-    return rows.select("doc_id", texts.fenced_lines(F.col("text")).alias("f")).select("doc_id", "f.prose", "f.fenced")
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.expr(FENCED.replace("chr(10)", "'\\n'")).alias("text"))
+    return rows.select("doc_id", texts.text_lines(F.col("text"), F.lit("Markdown")).alias("f")).select("doc_id", "f.prose", "f.fenced")
 
 
-MARKED = "case doc_id % 6 when 0 then '#[test]' when 1 then 'func TestX' when 2 then 'def test_y' when 3 then 'it(' when 4 then '@Test' else '' end || ' ' || substring(text, 1, 20)"
+MARKED = "case doc_id % 6 when 0 then '#[test]' when 1 then 'func TestX' when 2 then 'def test_y' when 3 then 'it(' when 4 then '@Test' else '' end || ' ' || coalesce(text, '')"
 MARK_LANG = "case doc_id % 5 when 0 then 'Rust' when 1 then 'Go' when 2 then 'Python' when 3 then 'TSX' else 'Swift' end"
 
 
-@query(f"""select doc_id, case {MARK_LANG} when 'Rust' then doc_id % 6 = 0 when 'Go' then doc_id % 6 = 1 when 'Python' then doc_id % 6 = 2 when 'TSX' then doc_id % 6 = 3 or {MARKED} like '%it(%' or {MARKED} like '%test(%' else doc_id % 6 = 4 end as inline_tests from documents""")
+def _marked() -> str:
+    """SQL of the marks of each language, over the whole text."""
+    rungs = [f"when {MARK_LANG} = '{name}' then {' or '.join(f'contains(m, {chr(39)}{mark}{chr(39)})' for mark in marks)}" for names, marks in texts.INLINE_TESTS.items() for name in names]
+    return f"case {' '.join(rungs)} else false end"
+
+
+@query(f"select doc_id, {_marked()} as inline_tests from (select doc_id, {MARKED} as m from documents)")
 def inline_tests(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKED).alias("text"), F.expr(MARK_LANG).alias("language"))
     return rows.select("doc_id", texts.inline_tests(F.col("text"), F.col("language")).alias("inline_tests"))
@@ -231,10 +239,10 @@ def retention_plan(spark, sf_dir):
     return policy.retention(rows, 20, 2500)
 
 
-@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_'']+')) as token from documents), c as (select doc_id, count(*) filter (length(token) > 1) as n_tokens from t group by 1) select d.doc_id, coalesce(n_tokens, 0) as n_tokens, regexp_replace(regexp_replace(substring(text, 1, 60), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') as split from documents d left join c using (doc_id)""")
+@query("""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_'']+')) as token from documents), c as (select doc_id, count(*) filter (length(token) > 1) as n_tokens from t group by 1) select d.doc_id, coalesce(n_tokens, 0) as n_tokens, regexp_replace(regexp_replace(text, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g') as split from documents d left join c using (doc_id)""")
 def term_split(spark, sf_dir):
     text = F.col("text")
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(texts.ascii_tokens(text)).cast("long").alias("n_tokens"), texts.split_case(F.substring(text, 1, 60)).alias("split"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(texts.ascii_tokens(text)).cast("long").alias("n_tokens"), texts.split_case(text).alias("split"))
 
 
 STEM = """case when t like '%ies' and length(t) >= 6 then left(t, -3) || 'y'

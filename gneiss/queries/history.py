@@ -10,6 +10,7 @@ from gneiss.operators import coupling, folders, health, history as ops, overlays
 from gneiss.queries.facts import BAND, CLASS
 from gneiss.queries.registry import BASE, CFG, NOW, query
 from gneiss.sources import fixtures as fx
+from gneiss.staging import stage
 
 SINCE = NOW - CFG.window_days * 86_400
 R6 = lambda x: f"round_even(({x}) * 1e6, 0) / 1e6"
@@ -49,9 +50,9 @@ def metrics(spark, sf_dir) -> DataFrame:
 
 def scored(spark, sf_dir) -> DataFrame:
     """Tracked files with history, age, class and score."""
-    touches, tracked = fx.touches(spark, sf_dir), fx.tracked(spark, sf_dir)
+    touches, tracked = stage(fx.touches(spark, sf_dir), "touches"), fx.tracked(spark, sf_dir)
     rows = ops.history_metrics(touches, tracked, NOW, CFG).join(tracked.select("path", "bytes"), "path").join(ops.first_seen(touches, NOW).select("path", "age_days"), "path", "left").fillna({"age_days": 0})
-    return scoring.scored(rows.withColumn("classification", paths.classification(F.col("path"))), CFG)
+    return scoring.scored(stage(rows.withColumn("classification", paths.classification(F.col("path"))), "facts"), CFG)
 
 
 @query(f"{CHURN} select * from cp")
@@ -181,8 +182,8 @@ nb as (select *, row_number() over (partition by src order by support desc, dst)
 
 
 def coupled(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    touches = fx.touches(spark, sf_dir)
-    commits = ops.commits(touches)
+    touches = stage(fx.touches(spark, sf_dir), "touches")
+    commits = stage(ops.commits(touches), "commits")
     return touches, commits, coupling.pairs(touches, commits, CFG)
 
 
@@ -202,15 +203,18 @@ def coordination_facts(spark, sf_dir):
     return coupling.coordination(touches, commits, CFG)
 
 
-@query(f"""{FACTS}, once as (select least(src, dst) as a, greatest(src, dst) as b, arg_min(support, src) as support, arg_min(weighted, src) as weighted from kept group by 1, 2), n as (select count(*)::double as n from commits),
+TEMPORAL = f"""{FACTS}, once as (select least(src, dst) as a, greatest(src, dst) as b, arg_min(support, src) as support, arg_min(weighted, src) as weighted from kept group by 1, 2), n as (select count(*)::double as n from commits),
 e as (select o.a, o.b, support, weighted, x.n_commits as ca, y.n_commits as cb, greatest(x.n_commits + y.n_commits - support, 1) as u, n from once o join facts x on x.path = o.a join facts y on y.path = o.b, n where support >= 3),
 g as (select *, least(weighted / u, 1.0) as cal, support * n / (ca * cb) as lift, n / (n + 20) as shrink, support / u::double as p from e), h as (select *, greatest((p + 3.8416 / (2 * u) - 1.96::double * sqrt((p * (1 - p) + 3.8416::double / (4 * u)) / u)) / (1 + 3.8416::double / u), 0.0) as w from g where lift >= 1),
-i as (select *, least(w, cal) * shrink as lower, cal * shrink as evidence from h)
+i as (select *, least(w, cal) * shrink as lower, cal * shrink as evidence from h)"""
+
+
+@query(f"""{TEMPORAL}
 select a, b, support, {A6("p")} as jaccard, {A6("cal")} as calibrated, {A6("lift")} as lift, {A6("support / ca::double")} as confidence_ab, {A6("support / cb::double")} as confidence_ba, {A6("evidence")} as evidence, {A6("lower")} as lower,
  case when support >= 5 and lower >= 0.10 and evidence >= 0.10 then 'supported' when support >= 2 and lower >= 0.01 and evidence >= 0.02 then 'limited' else 'low_support' end as class, split_part(a, '/', 1) <> split_part(b, '/', 1) as crosses from i""")
 def temporal_coupling(spark, sf_dir):
     touches, commits, edges = coupled(spark, sf_dir)
-    n = touches.select("commit_id").distinct().count()
+    n = commits.count()
     return coupling.temporal_edges(coupling.neighbours(edges, CFG), coupling.coordination(touches, commits, CFG), n, CFG)
 
 
@@ -240,24 +244,24 @@ def pagerank(spark, sf_dir):
     return coupling.pagerank(coupling.neighbours(coupled(spark, sf_dir)[2], CFG))
 
 
-EDGES = f"""{FACTS}, rel as (select a, b, 'temporal' as kind, weighted as score from edges where support >= 14)"""
+EDGES = f"""{TEMPORAL}, rel as (select a, b, 'temporal' as kind, weighted as score from i)"""
 
 
 def related(spark, sf_dir) -> DataFrame:
-    """All temporal edges; the SQL of the queries that take them still has the bound of 14."""
+    """All temporal edges with their weighted support."""
     whole = temporal_coupling(spark, sf_dir).select("a", "b")
     return coupled(spark, sf_dir)[2].join(whole, ["a", "b"]).select("a", "b", F.lit("temporal").alias("kind"), F.col("weighted").alias("score"))
 
 
-@query(f"{COMMITS} select commit_id, kind, weight from commits where kind in ('release', 'merge', 'import')")
+@query(f"{COMMITS} select commit_id, kind, weight from commits")
 def calibration(spark, sf_dir):
-    return ops.commits(fx.touches(spark, sf_dir)).filter(F.col("kind").isin("release", "merge", "import")).select("commit_id", "kind", "weight")
+    return ops.commits(fx.touches(spark, sf_dir)).select("commit_id", "kind", "weight")
 
 
 _SCORED_REST = SCORED[len(BASE) :]
 
 
-@query(f"""{PAIRS}, rel as (select a, b from edges where support >= 14){_SCORED_REST}, top as (select * from scored order by score desc, tokens desc, path limit 10), en as (select unnest([a, b]) as path from rel), ne as (select path, count(*) as n from en group by 1)
+@query(f"""{EDGES}{_SCORED_REST}, top as (select * from scored order by score desc, tokens desc, path limit 10), en as (select unnest([a, b]) as path from rel), ne as (select path, count(*) as n from en group by 1)
 select path, score, tokens, (select array_to_string(list(name order by v desc, i) [1:3], ',') from (values (age_pressure, 0, 'age_pressure'), (churn_pressure, 1, 'churn_pressure'), (revision_norm, 2, 'revision_norm'), (churn_norm, 3, 'churn_norm')) t(v, i, name) where v > 0) as pressures, coalesce(n, 0) as n_edges from top left join ne using (path)""")
 def explain_top(spark, sf_dir):
     from gneiss.operators import lookup
@@ -273,7 +277,7 @@ def show_path(spark, sf_dir):
     return lookup.touching(related(spark, sf_dir), anchor)
 
 
-@query(f"""{PAIRS}, rel as (select a, b, weighted as score from edges where support >= 14){_SCORED_REST}, f as (select min(path) as p from tracked), ow as (select path, 0 as rank, 0.0::double as w from scored, f where path = p), nr as (select case when a = p then b else a end as path, 1 as rank, max(score) as w from rel, f where a = p or b = p group by 1),
+@query(f"""{EDGES}{_SCORED_REST}, f as (select min(path) as p from tracked), ow as (select path, 0 as rank, 0.0::double as w from scored, f where path = p), nr as (select case when a = p then b else a end as path, 1 as rank, max(score) as w from rel, f where a = p or b = p group by 1),
 bs as (select path, 2 as rank, score as w from scored, f where regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(p, '^(.*)/[^/]*$', 1) and path <> p), al as (select *, row_number() over (partition by path order by rank, w desc) as k from (select * from ow union all select * from nr union all select * from bs))
 select path, rank from al where k = 1 order by rank, w desc, path limit 5""")
 def plan_anchor_scope(spark, sf_dir):

@@ -12,7 +12,7 @@ from gneiss.sources import fixtures as fx
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Thresholds that spread the small test documents over all bands.
-CFG = Config(bands=Bands(256, 640, 800), structural_tokens=(100, 50_000), candidate_limit=300)
+CFG = Config(bands=Bands(256, 640, 800), structural_tokens=(100, 50_000))
 NOW = fx.NOW
 
 #: Common table expressions of the base relations, for DuckDB.

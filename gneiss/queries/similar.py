@@ -12,7 +12,7 @@ from gneiss.sources import fixtures as fx
 
 A6 = lambda x: f"floor(({x}) * 1e6 + 0.5) / 1e6"
 TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9_'']+'), lambda t: length(t) > 1)"
-CAND = f"""{BASE}, cand as (select path, text, len(tok) as n_tokens, tok from (select path, text, {TOKENS} as tok, {CLASS} as cls from files) where len(tok) between 100 and 50000 order by n_tokens desc, path limit 300)"""
+CAND = f"""{BASE}, cand as (select path, text, len(tok) as n_tokens, tok from (select path, text, {TOKENS} as tok, {CLASS} as cls from files) where len(tok) between 100 and 50000 order by n_tokens desc, path limit 500)"""
 SHINGLES = f"""{CAND}, sh as (select path, sha256(text) as fingerprint, list_distinct(case when n_tokens < 8 then tok else list_transform(range(0, n_tokens - 7, 32), lambda i: array_to_string(tok[i + 1:i + 8], chr(31))) end) as shingles from cand)"""
 PAIRS = f"""{SHINGLES}, ix as (select path, len(shingles) as n, unnest(shingles) as s from sh), nr as (select a.path as a, b.path as b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double as sim from ix a join ix b on a.s = b.s and a.path < b.path group by 1, 2),
 ex as (select a.path as a, b.path as b from sh a join sh b on a.fingerprint = b.fingerprint and a.path < b.path),
@@ -20,12 +20,11 @@ dup as (select coalesce(n.a, e.a) as a, coalesce(n.b, e.b) as b, case when e.a i
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    rows = similarity.candidates(fx.files(spark, sf_dir), CFG)
-    return similarity.duplicate_pairs(similarity.shingled(rows, CFG), CFG)
+    return similarity.duplicate_pairs(similarity.shingled(similarity.candidates(fx.files(spark, sf_dir), CFG), CFG), CFG)
 
 
 def terms(spark, sf_dir) -> DataFrame:
-    return similarity.top_terms(similarity.candidates(fx.files(spark, sf_dir), CFG), CFG)
+    return similarity.top_terms(fx.files(spark, sf_dir), CFG)
 
 
 @query(f"{SHINGLES} select path, fingerprint, len(shingles)::bigint as n_shingles from sh")
@@ -51,7 +50,8 @@ def duplicate_clusters(spark, sf_dir):
 
 
 UNHELPFUL = ", ".join(f"'{w}'" for w in texts.UNHELPFUL)
-TERMS = f"""{CAND}, tk as (select path, unnest(tok) as t from cand), ws as (select distinct t from tk), s1 as (select t as w, {STEM_S} as u from ws), s2 as (select w, substring(u, 2) as t from s1 where u like '+%'), s3 as (select w, {STEM_S} as u from s2), s4 as (select w, substring(u, 2) as t from s3 where u like '+%'),
+OF_ALL = f"""{BASE}, cand as (select path, {TOKENS} as tok from files)"""
+TERMS = f"""{OF_ALL}, tk as (select path, unnest(tok) as t from cand), ws as (select distinct t from tk), s1 as (select t as w, {STEM_S} as u from ws), s2 as (select w, substring(u, 2) as t from s1 where u like '+%'), s3 as (select w, {STEM_S} as u from s2), s4 as (select w, substring(u, 2) as t from s3 where u like '+%'),
 st as (select w, u as stem from s1 where u not like '+%' union all select w, u from s3 where u not like '+%' union all select w, {STEM.format(rest="t")} from s4),
 tc as (select path, stem as term, count(*) as count from tk join st on st.w = tk.t where t not in ({UNHELPFUL}) and stem not in ({UNHELPFUL}) group by 1, 2 having count(*) >= 2), terms as (select *, row_number() over (partition by path order by count desc, term) as position from tc qualify position <= 25)"""
 
@@ -61,12 +61,12 @@ def top_terms(spark, sf_dir):
     return terms(spark, sf_dir)
 
 
-@query(f"""{TERMS}, np as (select count(distinct path) as n from terms), ra as (select path, term from terms where strlen(term) >= 4), cm as (select term from ra group by 1 having count(distinct path) <= (select greatest(n // 3, 2) from np)), rr as (select path, term from ra join cm using (term)), sz as (select path, count(*) as n from rr group by 1),
+@query(f"""{TERMS.replace(OF_ALL, CAND)}, np as (select count(distinct path) as n from terms), ra as (select path, term from terms where strlen(term) >= 4), cm as (select term from ra group by 1 having count(distinct path) <= (select greatest(n // 3, 2) from np)), rr as (select path, term from ra join cm using (term)), sz as (select path, count(*) as n from rr group by 1),
 sd as (select a.path as a, b.path as b, count(*) as support from rr a join rr b on a.term = b.term and a.path < b.path and split_part(a.path, '/', 1) <> split_part(b.path, '/', 1) group by 1, 2), sm as (select a, b, support, support / (x.n + y.n - support)::double as similarity from sd join sz x on x.path = a join sz y on y.path = b),
 em as (select distinct path from terms where path not in (select path from sz)), al as (select * from sm union all select x.path, y.path, 0, 1.0 from em x join em y on x.path < y.path and split_part(x.path, '/', 1) <> split_part(y.path, '/', 1))
 select a, b, support, {A6("similarity")} as similarity, case when similarity >= 0.6 then 'limited' else 'low_support' end as class from al where similarity >= 0.35 order by al.similarity desc, a, b limit 100""")
 def lexical_affinity(spark, sf_dir):
-    return similarity.lexical_pairs(terms(spark, sf_dir), CFG)
+    return similarity.lexical_pairs(similarity.top_terms(similarity.candidates(fx.files(spark, sf_dir), CFG), CFG), CFG)
 
 
 COMMON = ", ".join(f"'{w}'" for w in texts.COMMON)

@@ -88,12 +88,21 @@ def touch_rows(status_log: str, numstat_log: str, bots: tuple[str, ...]) -> Iter
 
 
 def read_touches(spark: SparkSession, repo: str, max_commits: int = 10_000, since: str | None = None, renames: bool = False, bots: tuple[str, ...] = ("[bot]",)) -> DataFrame:
-    """The newest commits of a repository as one row a commit and path."""
+    """The newest max_commits commits of a repository as one row a commit and path.
+
+    One more is asked for only to see that there are more; then the rows of
+    those taken stay, and truncated() tells.
+    """
     common = ["log", f"--format={FORMAT}", f"--max-count={max_commits + 1}", "-z", "-M" if renames else "--no-renames", *([f"--since={since}"] if since else [])]
-    rows = list(touch_rows(git(repo, *common, "--name-status"), git(repo, *common, "--numstat"), bots))
+    rows = [r for r in touch_rows(git(repo, *common, "--name-status"), git(repo, *common, "--numstat"), bots) if r[1] < max_commits]
     return spark.createDataFrame(rows, TOUCH_SCHEMA)
 
 
+def truncated(repo: str, max_commits: int = 10_000, since: str | None = None) -> bool:
+    """Whether a history has more commits than are read, so that its metrics are not reliable."""
+    return int(git(repo, "rev-list", "--count", f"--max-count={max_commits + 1}", *([f"--since={since}"] if since else []), "HEAD")) > max_commits
+
+
 def read_files(spark: SparkSession, repo: str, max_bytes: int = 2 << 20) -> DataFrame:
     """Tracked files with path, kind of content, bytes, text and content hash; skipped files stay, with their reason."""
     rows = []

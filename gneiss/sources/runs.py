@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.functions.udfs import stable_id_of
 from gneiss.operators.policy import retention
 
-SARIF_LEVEL = {"error": "error", "warning": "warning", "notice": "note"}
+
+def sarif_level(score_band: str, context_band: str) -> str:
+    """The level of a file by its two bands: error for critical, warning for what is over the first thresholds, else note."""
+    if "critical" in (score_band, context_band):
+        return "error"
+    return "warning" if score_band in ("high", "moderate") or context_band == "warning" else "note"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -76,11 +81,11 @@ def cached_tokens(texts: DataFrame, cache: str, count, tokenizer: str) -> DataFr
 
 def sarif(queue: DataFrame, limit: int = 5000, tool: str = "gneiss") -> str:
     """A SARIF 2.1.0 document of a ranked queue, bounded by limit."""
-    rows = queue.orderBy("position").limit(limit).select("path", "score", "severity", "reasons").collect()
+    rows = queue.orderBy("position").limit(limit).select("path", "score", "score_band", "context_band", "reasons").collect()
     results = [
         {
             "ruleId": (r["reasons"] or ["pressure"])[0],
-            "level": SARIF_LEVEL[r["severity"]],
+            "level": sarif_level(r["score_band"], r["context_band"]),
             "message": {"text": f"{r['path']} has a pressure score of {r['score']:.1f}"},
             "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"]}}}],
             "partialFingerprints": {"path": stable_id_of("finding", [r["path"]])},

@@ -30,7 +30,7 @@ LARGER = {"blast_radius"}
 def test_query_equals_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
-    want = duck.sql(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall()
+    want = duck.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({ORACLE_SQL[name]})").fetchall()
     assert rows(map(tuple, df.select(*columns).collect())) == rows(want)
 
 
