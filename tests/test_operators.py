@@ -161,8 +161,9 @@ def test_runs_publish_prune_and_exports(spark, tmp_path):
         runs.publish({"files": spark.range(i + 1)}, root, f"r{i}")
     assert runs.load(spark, root, "files", "r1").count() == 2 and len(runs.list_runs(spark, root)) == 3
     assert len(runs.prune(spark, root, 1, 1 << 30)) == 2 and len(runs.list_runs(spark, root)) == 1
-    queue = spark.createDataFrame([(1, "a,b%.rs", 90.0, "error", ["old_file"], "T", "m\nn")], "position int, path string, score double, severity string, reasons array<string>, title string, message string")
+    queue = spark.createDataFrame([(1, "a,b%.rs", 90.0, "error", "critical", "healthy", ["old_file"], "T", "m\nn")], "position int, path string, score double, severity string, score_band string, context_band string, reasons array<string>, title string, message string")
     assert json.loads(runs.sarif(queue))["runs"][0]["results"][0]["level"] == "error"
+    assert [runs.sarif_level(*b) for b in (("moderate", "healthy"), ("low", "warning"), ("low", "watch"), ("low", "critical"))] == ["warning", "warning", "note", "error"]
     assert runs.annotations(queue) == ["::error file=a%2Cb%25.rs,title=T::m%0An"]
     assert "| a,b%.rs | 90.0 |" in runs.markdown(queue, ["path", "score"])
     texts_ = spark.createDataFrame([("h1", "one two"), ("h2", "three")], "content string, text string")
