@@ -23,7 +23,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template head title svg math iframe object canvas audio video select option datalist textarea button noframes".split())
+RAW = frozenset("script style noscript template head title svg annotation annotation-xml iframe canvas audio video select option datalist textarea button noframes".split())
 CLOSES_P = BLOCK - {"body", "html"}
 #: Weights of elements around a block; the strongest of each sign counts.
 AROUND = {"article": 3.0, "main": 2.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.0, "fieldset": -6.0}
@@ -40,7 +40,21 @@ ADJACENT, SIBLING = 1.0, 1.5
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Names in which a part of the page is only said to be there or not.
+SAID = re.compile(r"(?:^|(?<=\s))(?:has|have|no|not|with|without|is|js|show|hide|hides|toggle)[_-][\w-]+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Elements whose text ends only with their own end tag; of the others an end tag may be missing.
+TO_THE_END = frozenset(("script", "style"))
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether an element's own attributes, read by name, keep it from being shown."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        value, name = next(filter(None, values), ""), name.lower()
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
 
 
 class Block:
@@ -95,7 +109,8 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if name in ("head", "title", "option", "button", "select") and not close:
+            own = m[3] if m[2] else m[6] or ""
+            if not close and name not in TO_THE_END or name == "svg" and own.rstrip().endswith("/"):
                 continue
             if name in BLOCK or name in ("select", "textarea", "button"):
                 end_block()
@@ -119,14 +134,14 @@ def blocks_of(html: str) -> list[Block]:
         if name == "header" and high >= 3.0:
             own = -1.0
         high, low = max(high, own), min(low, own)
-        if attributes:
+        if attributes and name not in ("html", "body"):
             for groups in NAMES.findall(attributes):
-                words = next(filter(None, groups), "").lower()
+                words = SAID.sub("", next(filter(None, groups), "").lower())
                 if FURNITURE.search(words):
                     low = min(low, -8.0)
                 elif CONTENT.search(words):
                     high = max(high, 2.0)
-            if HIDDEN.search(attributes):
+            if is_hidden(attributes):
                 low = min(low, -8.0)
         state[0] += 1
         stack.append((name, state[0], high, low))
