@@ -22,16 +22,25 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates beyond the base kinds: (kind, pattern). Secrets, numbers of account length, national phone numbers, spelled-out addresses.
+#: Candidates beyond the base kinds: (kind, pattern, a condition without which it cannot match, {t} the text). Runs are
+#: possessive and start where no such run goes on, so they stay linear and none is cut off.
 WIDER = (
-    ("secret", r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{8,200}"),
-    ("account", r"(?<![0-9.+-])[0-9]{9,19}(?![0-9.-])"),
-    ("phone", r"(?<![0-9(+)\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
-    ("email", r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{2,64} (?:\(at\)|\[at\]) [a-z0-9-]{2,64}(?: (?:\(dot\)|\[dot\]) [a-z]{2,10}){1,3}"),
+    ("secret", r"(?i)\b(?:api[_-]?key|secret(?:[_-]?key)?|(?:auth|access)?[_-]?token|access[_-]?key|client[_-]?secret)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_.=-]{8,}+", "{t} rlike '(?i)key|secret|token'"),
+    ("secret", r"(?i)\b(?:password|passwd|passphrase|pwd)\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{6,}+", "{t} rlike '(?i)passw|passphrase|pwd'"),
+    ("secret", r"-----BEGIN (?:[A-Z]++ )*+PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]++ )*+PRIVATE KEY-----)?", "contains({t}, 'PRIVATE KEY')"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", "{t} rlike '[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}'"),
+    ("passport", r"(?i)\bpassport(?:\x20(?:no|nr|number))?[.:#]{0,2}\x20{0,2}(?=[A-Z]*[0-9])[A-Z0-9]{6,9}\b", "{t} rlike '(?i)passport'"),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "{t} rlike '[0-9]-[0-9]{{2}}-[0-9]{{4}}'"),
+    ("phone", r"(?<![0-9+])(?<![0-9][\x20.)-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])", "{t} rlike '[0-9][ .-][0-9]{{4}}'"),
+    ("account", r"(?<![0-9+])(?<![0-9][.-])[0-9]{9,19}(?![0-9]|[.-][0-9])", "{t} rlike '[0-9]{{9}}'"),
+    ("email", r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]++ ?(?:\(at\)|\[at\]) ?[a-z0-9-]++(?: ?(?:\(dot\)|\[dot\]) ?[a-z0-9-]++)++", "contains(lower({t}), 'at)') or contains(lower({t}), 'at]')"),
 )
 #: Words that introduce personal data, and words that introduce numbers of other sorts.
-GAZETTEER = ("account", "call", "card", "contact", "email", "iban", "id", "key", "mail", "mobile", "passport", "password", "phone", "secret", "ssn", "tel", "token")
-OTHERWISE = ("chapter", "figure", "isbn", "line", "page", "part", "section", "step", "table", "version", "volume", "year")
+GAZETTEER = tuple(
+    "account acct address bank billing call card cell cellphone contact customer dial direct email fax home iban id identity key kontakt konto login mail member mobile mobil no nr number office passport passwort password patient phone pin portable "
+    "reach secret sms social ssn tel telefon telefono telephone text token user username whatsapp work".split()
+)
+OTHERWISE = tuple("article chapter column figure fig invoice isbn issn issue item line lot model order page part post product sample section serial sku step table ticket version vol volume year".split())
 #: Votes: 1 personal, 0 not, null abstains. Rounds and the prior's pseudo-counts of expectation-maximisation.
 LABELERS, ROUNDS, PSEUDO = 4, 60, 2.0
 #: Probability from which a candidate is a span.
@@ -72,6 +81,14 @@ def luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (a, k) -> a + if(k % 2 = 0, {digit}, {digit} * 2 - if({digit} > 4, 9, 0)))"
 
 
+def mod97(text: str) -> str:
+    """SQL for the checksum of an account number with a country code: 1 if it is right."""
+    bare = f"replace({text}, ' ', '')"
+    turned = f"concat(substring({bare}, 5), substring({bare}, 1, 4))"
+    value = "if(c between '0' and '9', ascii(c) - 48, ascii(c) - 55)"
+    return f"aggregate(filter(split({turned}, ''), c -> c <> ''), 0, (a, c) -> (a * if(c between '0' and '9', 10, 100) + {value}) % 97)"
+
+
 def small(part: str) -> str:
     """SQL: a string of digits is at most 255."""
     return f"coalesce(cast(nullif(substring(concat('0', ltrim('0', {part})), 1, 5), '') as int) <= 255, false)"
@@ -95,12 +112,11 @@ def word_list(words: tuple[str, ...]) -> str:
 
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """df with wider: array of (kind, s, e, m, before, after) of candidates that no base span touches."""
-    needs = {"secret": f"{text} rlike '(?i)key|secret|token|passw'", "account": f"{text} rlike '[0-9]{{9}}'", "phone": f"{text} rlike '[0-9][ .-][0-9]{{4}}'", "email": f"contains(lower({text}), 'at)') or contains(lower({text}), 'at]')"}
     names = []
-    for k, (kind, pattern) in enumerate(WIDER):
+    for k, (kind, pattern, needs) in enumerate(WIDER):
         name = f"w{k}"
         names.append(name)
-        df = span_columns(df, text, pattern, name, needs[kind])
+        df = span_columns(df, text, pattern, name, needs.format(t=text))
         around = f"'before', substring({text}, greatest(x.s - 23, 1), least(x.s, 24)), 'after', substring({text}, x.e + 1, 8)"
         df = df.withColumn(name, F.expr(f"transform({name}, x -> named_struct('kind', '{kind}', 's', x.s, 'e', x.e, 'm', x.m, {around}))"))
     everything = f"concat({', '.join(KINDS)})"
@@ -116,13 +132,14 @@ def votes(x: str) -> list[str]:
     last = f"lower(regexp_extract({x}.before, '([A-Za-z]+)[^A-Za-z]{{0,4}}$', 1))"
     form = (
         f"case {x}.kind when 'account' then if(length({digits}) >= 13, if({luhn(digits)} % 10 = 0, 1, 0), cast(null as int)) "
+        f"when 'iban' then if({mod97(f'{x}.m')} = 1, 1, 0) when 'ssn' then if({digits} rlike '^(?!000|666|9)[0-9]{{3}}(?!00)[0-9]{{2}}(?!0000)', 1, 0) "
         f"when 'phone' then if(length({digits}) = 10 and substring({digits}, 1, 1) not in ('0', '1'), 1, 0) when 'secret' then if(length({x}.m) >= 24, 1, 0) else 1 end"
     )
-    gazetteer = f"case when {last} in ({word_list(GAZETTEER)}) or {x}.kind = 'secret' then 1 when {last} in ({word_list(OTHERWISE)}) then 0 end"
+    gazetteer = f"case when {last} in ({word_list(GAZETTEER)}) or {x}.kind in ('secret', 'passport') then 1 when {last} in ({word_list(OTHERWISE)}) then 0 end"
     context = f"case when {x}.before rlike '[=:#][^A-Za-z0-9]{{0,3}}$' or {x}.m rlike '[=:]' then 1 when {x}.before rlike '[$%/]$' or {x}.after rlike '^[%/]' then 0 end"
     shape = (
         f"case when {x}.kind = 'secret' then if({x}.m rlike '[=:].*[0-9]' and {x}.m rlike '(?i)[=:].*[a-z]', 1, 0) "
-        f"when {digits} rlike '^([0-9])\\\\1+$' then 0 when {x}.kind = 'account' then cast(null as int) else 1 end"
+        f"when {x}.kind = 'passport' then if({digits} <> '', 1, 0) when {digits} rlike '^([0-9])\\\\1+$' then 0 when {x}.kind = 'account' then cast(null as int) else 1 end"
     )
     return [form, gazetteer, context, shape]
 
