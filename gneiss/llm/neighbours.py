@@ -136,10 +136,22 @@ class Index:
                 out.append(np.array(own))
         return out
 
-    def lists(self, q: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads."""
+    def lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query reads: those within the ratio, and the next ones until they hold least entries.
+
+        sizes are those of all lists; empty ones are passed over.
+        """
         ids, dist = self.search(q, self.reach)
-        return [row[d <= self.ratio * d[0] + 1e-9] for row, d in zip(ids, dist, strict=True)]
+        out = []
+        for i, (row, d) in enumerate(zip(ids, dist, strict=True)):
+            near = int((d <= self.ratio * d[0] + 1e-9).sum())
+            held = sizes[row].cumsum()
+            if held[-1] < least:  # the lists in reach hold too little
+                row = np.argsort(-(self.centroids @ q[i]), kind="stable")
+                held = sizes[row].cumsum()
+            row = row[: max(near, int(np.searchsorted(held, min(least, held[-1]))) + 1)]
+            out.append(row[sizes[row] > 0])
+        return out
 
 
 def fit(sample: np.ndarray, n: int, k_nearest: int, seed: int = 7) -> Index:
@@ -234,12 +246,17 @@ def nearest_neighbours(vectors: DataFrame, vec_id: str = "vec_id", embedding: st
     many = F.broadcast(spark.createDataFrame(list(pieces.items()), "list int, pieces int"))
     held = lists.join(many, "list").withColumn("piece", F.pmod(F.xxhash64("x"), F.col("pieces")).cast("int")).join(where, ["list", "piece"])
 
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for i, c in counts.items():
+        sizes[i] = c
+    enough = (k + 2) * COPIES  # a vector stands in COPIES lists at most, and one may be the query itself
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = own.lists(unit(matrix(part.column(1))))
+                found = own.lists(unit(matrix(part.column(1))), sizes, enough)
                 ends = pa.array(np.concatenate([[0], np.cumsum(list(map(len, found)))]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))], names=["query_id", "q", "lists"])
 
