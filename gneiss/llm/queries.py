@@ -63,7 +63,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.llm.mixing import in_training_order, mixing_plan
 
     plan = in_training_order(mixing_plan(table(spark, sf_dir, "documents")), copies=False)
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    copies = (F.col("passes") + (F.col("extra") > 0).cast("long")).alias("copies")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", copies, F.round("position", 6).alias("position"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +110,19 @@ with s as (
     select coalesce(min_by((everything - capped) / w_left::double, k), 1e300) as x
     from ordered where w * ((everything - capped) / w_left::double) <= 3 * source_size
 ), aimed as (
-    select source, source_size, least(w * x, (3 * source_size)::double) as target from sources, level
+    select source, source_size, w, least(w * x, (3 * source_size)::double) as target from sources, level
 ), quotas as (
     select *, round(target)::bigint as quota, case when source_size > 0 then round(target)::bigint // source_size else 0 end as passes from aimed
+), placed as (
+    select s.doc_id, s.size, q.*, coalesce(sum(size) over (partition by s.source order by h, size rows between unbounded preceding and 1 preceding), 0) as before
+    from s join quotas q on s.source is not distinct from q.source
+), shares as (
+    select *, coalesce(before / nullif(target, 0), 0.0)::double as x, greatest(least(quota - passes * source_size - before, size), 0) as extra from placed
 )
-select s.doc_id, s.size::bigint as size, q.source_size, q.target,
-       (passes * size + greatest(least(quota - passes * source_size - coalesce(sum(size) over (partition by s.source order by h, size rows between unbounded preceding and 1 preceding), 0), size), 0))::bigint as taken
-from s join quotas q on s.source is not distinct from q.source
+select doc_id, size::bigint as size, source_size, target, (passes * size + extra)::bigint as taken, (passes + (extra > 0)::int)::bigint as copies,
+       round(case w when 5 then least(2 * x / (sqrt(greatest(2.25 - 2 * x, 0)::double) + 1.5), 1.0) when 2 then least(x, 1.0)
+                    when 1 then case when x < 0.375 then least(2 * x / (sqrt(0.25::double + 2 * x) + 0.5), 0.5) else least(0.5 + 2 * (x - 0.375) / (sqrt(1.0::double + 2 * (x - 0.375)) + 1.0), 1.0) end end, 6) as position
+from shares
 """,
     "op7_quality_rules": f"""
 with w as (
