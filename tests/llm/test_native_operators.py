@@ -160,7 +160,7 @@ def test_personal_data(spark, where, request):
         flat = [f"{k}:{a}:{b}" for k, s in spans.items() for a, b in s]
         want.append((d, *map(len, spans.values()), hashlib.sha256(",".join(flat).encode()).hexdigest()))
     assert sorted((r[:6] for r in got), key=str) == sorted(want, key=str)
-    kinds = ["email", "ip", "card", "phone", "account", "secret"]
+    kinds = ["email", "ip", "card", "phone", "account", "iban", "passport", "secret", "ssn"]
     for r in got:
         spans = [(kinds.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in filter(None, r[6].split(",")))]
         assert spans == sorted(spans) and len(spans) >= sum(r[1:5])
