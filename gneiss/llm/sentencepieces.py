@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, types as T
 from gneiss.llm.arrow import map_texts
 
 SPACE = "▁"
-#: Distinct words, and half as many stems without their closing marks, that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Distinct words, stems without their closing marks, and pairs of tokens that a worker remembers; later ones are worked out each time.
+REMEMBERED = 350_000
 MARKS = ".,;:!?"
 FIRST = itemgetter(0)
 SECOND = itemgetter(1)
@@ -65,9 +65,7 @@ class PrefixEncoder:
         self.spines: dict[tuple[int, bool], list[tuple[str, float]]] = {}
         self.alone = [i in own and self.merged(p) == [i] for own in [set(self.ids.values())] for i, p in enumerate(self.pieces)]
         self.words: dict[str, tuple[list[int], str]] = {}
-        self.old_words: dict[str, tuple[list[int], str]] = {}
         self.stems: dict[str, list[int]] = {}
-        self.old_stems: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[int]:
         """The ids of a short text of known characters by merging the best pair, leftmost first."""
@@ -134,7 +132,9 @@ class PrefixEncoder:
                     continue
                 fits = pairs(before << 32 | token)
                 if fits is None:
-                    fits = self.pairs[before << 32 | token] = compatible(before, token)
+                    fits = compatible(before, token)
+                    if len(self.pairs) < REMEMBERED:
+                        self.pairs[before << 32 | token] = fits
             else:
                 fits = alone[token]
             if fits:
@@ -164,8 +164,8 @@ class PrefixEncoder:
     def stem(self, text: str) -> list[int]:
         found = self.stems.get(text)
         if found is None:
-            found = self.old_stems.get(text) or self.chunk(text)
-            if len(text) < 64:
+            found = self.chunk(text)
+            if len(self.stems) < REMEMBERED and len(text) < 64:
                 self.stems[text] = found
         return found
 
@@ -176,27 +176,15 @@ class PrefixEncoder:
 
     def look(self, word: str) -> tuple[list[int], str]:
         """The entry of a space and a word."""
-        if (entry := self.old_words.get(word)) is not None:
-            self.words[word] = entry
-            return entry
         first, *more = word.split("\n") if self.cut_lines else [word]
         ids = self.part(SPACE, first)
         for line in more:
             ids = ids + self.line_feed + self.part("", line)
         entry = (ids, " ".join(map(str, ids)))
-        if len(word) < 64:
+        if len(self.words) < REMEMBERED and len(word) < 64:
             self.words[word] = entry
         return entry
 
-    def age(self) -> None:
-        """Lets go of what a generation has not met again."""
-        if len(self.pairs) > REMEMBERED:
-            self.pairs = {}
-        if len(self.words) > REMEMBERED:
-            self.words, self.old_words = {}, self.words
-        if len(self.stems) > REMEMBERED // 2:
-            self.stems, self.old_stems = {}, self.stems
-
     def entries(self, text: str) -> list[tuple[list[int], str]]:
         """One entry (ids, ids in decimal) for each word of a text, in order."""
         if not text:
@@ -204,7 +192,6 @@ class PrefixEncoder:
         if text[0] == " " or "  " in text or SPACE in text or not self.dummy:
             runs = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self.dummy + text.replace(" ", SPACE))
             return [(ids, " ".join(map(str, ids))) for ids in map(self.chunk, runs)]
-        self.age()
         get, look = self.words.get, self.look
         return [get(w) or look(w) for w in text.split(" ")]
 
