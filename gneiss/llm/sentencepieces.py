@@ -13,7 +13,6 @@ import hashlib
 import re
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -23,10 +22,8 @@ from gneiss.llm.arrow import map_texts
 
 SPACE = "▁"
 #: Distinct words, stems without their closing marks, and pairs of tokens that a worker remembers; later ones are worked out each time.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
 MARKS = ".,;:!?"
-FIRST = itemgetter(0)
-SECOND = itemgetter(1)
 
 
 class PrefixEncoder:
@@ -59,13 +56,14 @@ class PrefixEncoder:
         self.marks = "".join(c for c in MARKS if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids))
         #: A line feed that no piece holds is written as a byte, and nothing is merged across it.
         self.cut_lines = not any("\n" in p for p in self.ids)
-        self.line_feed = [self.bytes[10]]
+        self.line_feed = (self.bytes[10],)
         self.pairs: dict[int, bool] = {}
         #: At most two entries a token.
         self.spines: dict[tuple[int, bool], list[tuple[str, float]]] = {}
         self.alone = [i in own and self.merged(p) == [i] for own in [set(self.ids.values())] for i, p in enumerate(self.pieces)]
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.stems: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.stems: dict[str, tuple[int, ...]] = {}
+        self.decimals = list(map(str, range(len(proto.pieces))))
 
     def merged(self, text: str) -> list[int]:
         """The ids of a short text of known characters by merging the best pair, leftmost first."""
@@ -148,7 +146,7 @@ class PrefixEncoder:
         out.reverse()
         return out
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> tuple[int, ...]:
         """The ids of a run of spaces and the word after it."""
         out, start, ids = [], 0, self.ids
         for k, c in enumerate(text):
@@ -159,9 +157,9 @@ class PrefixEncoder:
                 start = k + 1
         if start < len(text):
             out += self.known(text[start:])
-        return out
+        return tuple(out)
 
-    def stem(self, text: str) -> list[int]:
+    def stem(self, text: str) -> tuple[int, ...]:
         found = self.stems.get(text)
         if found is None:
             found = self.chunk(text)
@@ -169,34 +167,32 @@ class PrefixEncoder:
                 self.stems[text] = found
         return found
 
-    def part(self, space: str, word: str) -> list[int]:
+    def part(self, space: str, word: str) -> tuple[int, ...]:
         """The ids of a word up to a line's end, with the space before it if it has one."""
         head = word.rstrip(self.marks)
         return self.stem(space + head) + self.stem(word[len(head) :]) if head and head[-1].isalpha() else self.chunk(space + word)
 
-    def look(self, word: str) -> tuple[list[int], str]:
-        """The entry of a space and a word."""
+    def look(self, word: str) -> tuple[int, ...]:
+        """The ids of a space and a word."""
         first, *more = word.split("\n") if self.cut_lines else [word]
         ids = self.part(SPACE, first)
         for line in more:
             ids = ids + self.line_feed + self.part("", line)
-        entry = (ids, " ".join(map(str, ids)))
         if len(self.words) < REMEMBERED and len(word) < 64:
-            self.words[word] = entry
-        return entry
+            self.words[word] = ids
+        return ids
 
-    def entries(self, text: str) -> list[tuple[list[int], str]]:
-        """One entry (ids, ids in decimal) for each word of a text, in order."""
+    def encode(self, text: str) -> list[int]:
         if not text:
             return []
         if text[0] == " " or "  " in text or SPACE in text or not self.dummy:
             runs = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self.dummy + text.replace(" ", SPACE))
-            return [(ids, " ".join(map(str, ids))) for ids in map(self.chunk, runs)]
+            return list(chain.from_iterable(map(self.chunk, runs)))
         get, look = self.words.get, self.look
-        return [get(w) or look(w) for w in text.split(" ")]
+        return list(chain.from_iterable([get(w) or look(w) for w in text.split(" ")]))
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(FIRST, self.entries(text))))
+    def decimal(self, ids: list[int]) -> str:
+        return " ".join(map(self.decimals.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -216,17 +212,13 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", keep: tu
 
     def factory():
         spm = encoder(model_file)
-        end = str(spm.end)
 
         def work(texts: list[str]) -> list[list]:
             counts, hashes, decoded, flat, ends = [], [], [], [], [0]
             for t in texts:
-                entries = spm.entries(t)
-                ids = list(chain.from_iterable(map(FIRST, entries)))
-                ids.append(spm.end)
-                decimal = " ".join([*map(SECOND, entries), end])
+                ids = [*spm.encode(t), spm.end]
                 counts.append(len(ids))
-                hashes.append(hashlib.sha256(decimal.encode()).hexdigest())
+                hashes.append(hashlib.sha256(spm.decimal(ids).encode()).hexdigest())
                 decoded.append(spm.processor.decode(ids))
                 if full:
                     flat.append(pa.array(ids, pa.int32()))
