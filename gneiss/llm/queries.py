@@ -85,8 +85,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.whitening import whitened_digest
+
+    return whitened_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text, op11_embedding_whitening)
 }
 
 _GRAMS = ", ".join(f"({t}, '{label}', {exact}, {n}, {p}, '{' '.join(w)}')" for t, label, exact, n, p, w in template_rows())
