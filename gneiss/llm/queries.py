@@ -91,8 +91,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text, op11_embedding_whitening)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text, op11_embedding_whitening, op12_importance_resampling)
 }
 
 _GRAMS = ", ".join(f"({t}, '{label}', {exact}, {n}, {p}, '{' '.join(w)}')" for t, label, exact, n, p, w in template_rows())
@@ -194,5 +200,47 @@ with t as (select * from (values {_GRAMS}) v(tid, label, exact, grams, tpos, gra
 )
 select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
        coalesce(labels, '') as labels, round(coalesce(score, 0.0), 6) as score from w left join found using (doc_id)
+""",
+    "op12_importance_resampling": """
+with recursive crc as (
+    select i, i::bigint as c, 0 as k from range(256) r(i)
+    union all
+    select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8
+), steps as (
+    select list(c order by i) as step from crc where k = 8
+), d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words,
+           row_number() over () as own
+    from documents
+), b as (
+    select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w from benchmark
+), used as (
+    select own, unnest(words) as w from d
+), seen as (
+    select w, hex(encode(w)) as digits from (select distinct w from used union select distinct w from b)
+), hashed as (
+    select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(digits) // 2),
+                  lambda i: 16 * (instr('0123456789ABCDEF', digits[2 * i + 1]) - 1)::bigint + instr('0123456789ABCDEF', digits[2 * i + 2]) - 1)),
+                  lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+    from seen, steps
+), source as (
+    select bucket, count(*) as s from used join hashed using (w) group by 1
+), aim as (
+    select bucket, count(*) as t from b join hashed using (w) group by 1
+), totals as (
+    select (select count(*) from used) as ss, (select count(*) from b) as tt
+), gains as (
+    select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + 10000) / ((coalesce(s, 0) + 1)::double * (tt + 10000))))::bigint as gain
+    from source full join aim using (bucket), totals
+), weights as (
+    select own, sum(gain)::bigint as weight from used join hashed using (w) join gains using (bucket) group by 1
+), scored as (
+    select doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from d left join weights using (own)
+), ranked as (
+    select *, row_number() over (order by n_features >= 20 desc, score desc, doc_id nulls last) as k, count(*) filter (n_features >= 20) over () as n from scored
+)
+select doc_id, n_features, weight, score, case when k <= 10 * n // 100 then k end as rank from ranked
 """,
 }
