@@ -97,8 +97,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.suffix_dedup import dedup_strings
+
+    return dedup_strings(table(spark, sf_dir, "documents"), kept=False).drop("kept_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text, op11_embedding_whitening, op12_importance_resampling)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_nearest_neighbours, op3_source_mixing, op4_token_files, op5_sentencepiece, op6_line_dedup, op7_quality_rules, op8_license_scan, op9_personal_data, op10_html_text, op11_embedding_whitening, op12_importance_resampling, op13_suffix_dedup)
 }
 
 _GRAMS = ", ".join(f"({t}, '{label}', {exact}, {n}, {p}, '{' '.join(w)}')" for t, label, exact, n, p, w in template_rows())
