@@ -10,9 +10,10 @@ import time
 from pyspark.sql import functions as F
 
 from gneiss.config import Config
-from gneiss.operators import compare, health, lookup, scoring
+from gneiss.operators import compare, evidence, health, lookup, scoring
 from gneiss.session import local_session
 from gneiss.sources import git, runs
+from gneiss.staging import stage
 
 
 def find(spark, args) -> int:
@@ -21,9 +22,18 @@ def find(spark, args) -> int:
     from gneiss.plans.analysis import analyze
 
     cfg = Config()
-    files = git.read_files(spark, args.repo).filter("state = 'analyzed'").withColumns({"tokens": bpe_count()(F.col("text")), "lines": F.size(lines(F.col("text"))), "content": F.sha2("text", 256)})
-    run = analyze(files, git.read_touches(spark, args.repo, bots=cfg.bots), args.as_of or int(time.time()), cfg)
-    runs.publish(run.tables(), args.runs, args.run_id or time.strftime("%Y%m%dT%H%M%S", time.gmtime()))
+    found = stage(git.read_files(spark, args.repo, cfg.large_file_bytes, args.scope, (*cfg.ignore_globs, *args.ignore)), "read-files")
+    files = found.filter("state = 'analyzed'").withColumns({"tokens": bpe_count()(F.col("text")), "lines": F.size(lines(F.col("text"))), "content": F.sha2("text", 256)})
+    if found.isEmpty() and not args.allow_empty_scope:
+        print("no tracked paths are selected; --allow-empty-scope accepts that", file=sys.stderr)
+        return 2
+    renames = args.follow_renames or cfg.follow_renames
+    touches = git.read_touches(spark, args.repo, cfg.max_commits, renames=renames, bots=cfg.bots)
+    if renames:
+        touches = evidence.follow_renames(stage(touches, "read-touches"), found)
+    run = analyze(files, touches, args.as_of or int(time.time()), cfg, reliable=not git.truncated(args.repo, cfg.max_commits))
+    skipped = found.filter("state <> 'analyzed'").select("path", "state", "bytes")
+    runs.publish({**run.tables(), "skipped": skipped}, args.runs, args.run_id or time.strftime("%Y%m%dT%H%M%S", time.gmtime()))
     print(runs.markdown(run.queue.orderBy("position"), ["position", "path", "score", "severity"]))
     return 0
 
@@ -84,7 +94,16 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument(flags, **kw)
         sub.set_defaults(run=run)
 
-    command("find", find, ("--repo", {"default": "."}), ("--as-of", {"type": int}))
+    command(
+        "find",
+        find,
+        ("--repo", {"default": "."}),
+        ("--as-of", {"type": int}),
+        ("--scope", {}),
+        ("--ignore", {"action": "append", "default": []}),
+        ("--follow-renames", {"action": "store_true"}),
+        ("--allow-empty-scope", {"action": "store_true"}),
+    )
     command("list", listed, ("table", {}), ("--path", {}))
     command("check", check, ("--context", {"default": "critical"}), ("--score", {"default": "critical"}))
     command("compare", compared, ("base", {}), ("head", {}), ("--fail-on-regression", {"action": "store_true"}))

@@ -35,6 +35,10 @@ class Config:
     min_lift: float = 1.0
     top_terms: int = 25
     distinctive_terms: int = 5
+    max_commits: int = 10000
+    follow_renames: bool = False
+    large_file_bytes: int = 2097152
+    ignore_globs: tuple[str, ...] = ()
     data_min_bytes: int = 262144
     folder_tokens: tuple[int, int, int] = (31999, 128000, 256000)
     folder_files: tuple[int, int] = (17, 37)

@@ -99,12 +99,17 @@ def ancestors(path: Column) -> Column:
     return F.concat(F.array(F.lit(".")), F.coalesce(above, F.array().cast("array<string>")))
 
 
-def in_scope(path: Column, scope: str) -> Column:
-    """The scope itself and all below it; . is everything. Absolute scopes and .. are refused."""
+def clean_scope(scope: str) -> str:
+    """A scope without empty and . parts, empty for everything. Absolute scopes and .. are refused."""
     parts = [p for p in scope.replace("\\", "/").split("/") if p not in ("", ".")]
     if scope.startswith("/") or ".." in parts:
         raise ValueError(f"not a scope inside the repository: {scope}")
-    clean = "/".join(parts)
+    return "/".join(parts)
+
+
+def in_scope(path: Column, scope: str) -> Column:
+    """The scope itself and all below it; . is everything."""
+    clean = clean_scope(scope)
     return F.lit(True) if not clean else (path == clean) | path.startswith(clean + "/")
 
 
@@ -138,7 +143,11 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def ignore_pattern(globs: tuple[str, ...]) -> str:
+    """One regular expression for what any glob matches; a glob without a slash matches in every folder."""
+    return "|".join([glob_regex(g) for g in globs] + [glob_regex("**/" + g) for g in globs if "/" not in g])
+
+
 def ignored(path: Column, globs: tuple[str, ...]) -> Column:
     """Any glob matches; one without a slash matches in every folder."""
-    patterns = [glob_regex(g) for g in globs] + [glob_regex("**/" + g) for g in globs if "/" not in g]
-    return path.rlike("|".join(patterns)) if patterns else F.lit(False)
+    return path.rlike(ignore_pattern(globs)) if globs else F.lit(False)

@@ -107,3 +107,9 @@ def follow(touches: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = touches.withColumnRenamed("path", "name").join(aliases, "name").filter(F.col("seq") > F.col("after"))
     best = rows.groupBy("commit_id", "seq", "name").agg(F.max_by("current", F.struct("after", "current")).alias("path"))
     return touches.withColumnRenamed("path", "name").join(best, ["commit_id", "seq", "name"]).drop("name").select(*touches.columns)
+
+
+def follow_renames(touches: DataFrame, paths: DataFrame) -> DataFrame:
+    """touches (with old_path where status is R) under the present names of paths."""
+    renames = touches.filter("status = 'R'").select("seq", F.col("old_path").alias("old"), F.col("path").alias("new"))
+    return follow(touches, lineage(renames, paths.select("path")))
