@@ -19,13 +19,17 @@ def context_pressure(tokens: Column, bands: Bands) -> Column:
     return clip(tokens / F.lit(float(bands.warning)))
 
 
-def inventory(files: DataFrame, cfg: Config) -> DataFrame:
-    """files (path, bytes, tokens, ...) with everything that a path and a size say."""
+def inventory(files: DataFrame, cfg: Config, marked: bool = False) -> DataFrame:
+    """files (path, bytes, tokens, ...) with everything that a path and a size say.
+
+    With marked, a file whose text says that it is generated is of that class.
+    """
     path = F.col("path")
+    own = paths.classification(path)
     return files.select(
         "*",
         paths.language(path).alias("language"),
-        paths.classification(path).alias("classification"),
+        (F.when(F.coalesce(texts.generated_marker(F.col("text")), F.lit(False)), "generated").otherwise(own) if marked else own).alias("classification"),
         paths.profile(path, F.col("bytes"), cfg.data_min_bytes).alias("profile"),
         paths.structural_mode(path).alias("mode"),
         context_band(F.col("tokens"), cfg.bands).alias("context_band"),

@@ -41,7 +41,7 @@ def analyze(files: DataFrame, touches: DataFrame, now: int, cfg: Config | None =
     Facts by file are staged once; everything else is derived from them.
     """
     cfg = cfg or Config()
-    facts = inventory.inventory(files, cfg)
+    facts = inventory.inventory(files, cfg, marked=True)
     metrics = history.history_metrics(touches, facts, now, cfg).drop("lines", "tokens")
     seen = history.first_seen(touches, now).select("path", "age_days")
     commits = stage(history.commits(touches), "commits")
