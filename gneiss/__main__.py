@@ -33,7 +33,7 @@ def find(spark, args) -> int:
         touches = evidence.follow_renames(stage(touches, "read-touches"), found)
     run = analyze(files, touches, args.as_of or int(time.time()), cfg, reliable=not git.truncated(args.repo, cfg.max_commits))
     skipped = found.filter("state <> 'analyzed'").select("path", "state", "bytes")
-    runs.publish({**run.tables(), "skipped": skipped}, args.runs, args.run_id or time.strftime("%Y%m%dT%H%M%S", time.gmtime()))
+    runs.publish({**run.tables(), "skipped": skipped}, args.runs, args.run_id or time.strftime("%Y%m%dT%H%M%S", time.gmtime()), run.limits(cfg))
     print(runs.markdown(run.queue.orderBy("position"), ["position", "path", "score", "severity"]))
     return 0
 
@@ -57,9 +57,11 @@ def check(spark, args) -> int:
 
 def compared(spark, args) -> int:
     base, head = (runs.load(spark, args.runs, "files", r) for r in (args.base, args.head))
-    worse = compare.regressions(compare.deltas(base, head), Config()).orderBy(F.desc("score_delta"), "path")
-    print(runs.markdown(worse, ["path", "reason", "severity", "score_delta"], args.limit))
-    return int(args.fail_on_regression and not worse.isEmpty())
+    worse = compare.regressions(compare.deltas(base, head), Config())
+    rows, told = compare.page_with_totals(worse, args.offset, args.limit, F.desc("score_delta"), F.asc("path"))
+    print(runs.markdown(rows.orderBy("position"), ["path", "reason", "severity", "score_delta"], args.limit))
+    print(f"{told['returned']} of {told['total']}" + (", more follow" if told["has_more"] else ""))
+    return int(args.fail_on_regression and told["total"] > 0)
 
 
 def healthy(spark, args) -> int:
@@ -106,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     )
     command("list", listed, ("table", {}), ("--path", {}))
     command("check", check, ("--context", {"default": "critical"}), ("--score", {"default": "critical"}))
-    command("compare", compared, ("base", {}), ("head", {}), ("--fail-on-regression", {"action": "store_true"}))
+    command("compare", compared, ("base", {}), ("head", {}), ("--offset", {"type": int, "default": 0}), ("--fail-on-regression", {"action": "store_true"}))
     command("health", healthy, ("--format", {"default": "markdown", "choices": ["markdown", "json", "annotations"]}))
     command("plan", planned, ("path", {}))
     command("sarif", lambda spark, a: print(runs.sarif(table(spark, a, "queue"))) or 0)

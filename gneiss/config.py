@@ -33,6 +33,7 @@ class Config:
     max_commit_files: int = 200
     min_support: int = 3
     min_lift: float = 1.0
+    source_test_mappings: tuple[tuple[str, str], ...] = ()
     top_terms: int = 25
     distinctive_terms: int = 5
     max_commits: int = 10000

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from gneiss.config import Config
 from gneiss.functions.numeric import half_away
+from gneiss.plans.ordering import top_counted
+from gneiss.staging import stage
 
 BANDS = ("healthy", "watch", "warning", "critical")
 SCORES = ("low", "moderate", "high", "critical")
@@ -80,3 +82,17 @@ def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
     """A page of an ordered result; the sort keeps no more than offset + limit rows a task."""
     top = rows.orderBy(*order).limit(offset + limit)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).filter(F.col("position") > offset)
+
+
+def page_with_totals(rows: DataFrame, offset: int, limit: int, *order: Column) -> tuple[DataFrame, dict]:
+    """A page as a staged table, and total, returned, limit, offset, truncated and has_more; one pass over rows.
+
+    The rows are counted as the sort reads them, those of the page as they are
+    written.
+    """
+    every, kept = Observation(), Observation()
+    top = top_counted(rows, list(order), offset + limit, every)
+    found = top.withColumn("position", F.row_number().over(Window.orderBy(*order))).filter(F.col("position") > offset)
+    out = stage(found.observe(kept, F.count(F.lit(1)).alias("n")), "page")
+    total, returned = every.get.get("n", 0), kept.get.get("n", 0)
+    return out, {"total": total, "returned": returned, "limit": limit, "offset": offset, "truncated": returned < total, "has_more": offset + returned < total}

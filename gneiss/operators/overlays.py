@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.config import Config
 from gneiss.functions.numeric import clip, half_away
-from gneiss.functions.paths import is_test, parent, root
+from gneiss.functions.paths import glob_regex, is_test, parent, root
 from gneiss.functions.text import COMMON
 
 
@@ -50,10 +50,40 @@ def containing(needles: DataFrame, tests: DataFrame) -> DataFrame:
     return rarest.join(index, "gram").filter(F.contains(F.col("low"), F.col("needle"))).select("needle", "test")
 
 
-def test_mapping(files: DataFrame, limit: int = 5) -> DataFrame:
-    """(path, test, strength, position): tests whose lower-cased path holds the file's name, or else its first long name part.
+def uncommon(terms: DataFrame) -> DataFrame:
+    """Distinct (path, term) without words that say nothing and those of one or two bytes."""
+    return terms.select("path", "term").filter(~F.col("term").isin(*COMMON) & (F.octet_length("term") > 2)).distinct()
 
-    Equal names are matched once; each keeps its first tests by strength and path.
+
+def sharing_two(files: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """(path, test): for each file the first tests by path that share two uncommon terms with it.
+
+    Files and tests meet by pairs of terms, and of the tests of a pair only the
+    first few go on: a test among a file's first ones is among the first of each
+    pair that they share. So a pair that many hold makes no more rows than one
+    that few hold. Terms that no test has are left out before they are paired.
+    """
+    kept = uncommon(terms)
+    lists = lambda rows: rows.groupBy("path").agg(F.sort_array(F.collect_list("term")).alias("t"))
+    twos = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    own = kept.join(files.filter(is_test(F.col("path"))).select("path"), "path", "left_semi")
+    tests = lists(own).select(F.col("path").alias("test"), F.explode(twos).alias("two"))
+    first = Window.partitionBy("two").orderBy("test")
+    tests = tests.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).select("two", "test")
+    told = kept.join(files.select("path"), "path", "left_semi").join(own.select("term").distinct(), "term", "left_semi")
+    found = lists(told).select("path", F.explode(twos).alias("two")).join(tests, "two").select("path", "test").distinct()
+    best = Window.partitionBy("path").orderBy("test")
+    return found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= limit).select("path", "test")
+
+
+def test_mapping(files: DataFrame, limit: int = 5, terms: DataFrame | None = None, mappings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(path, test, strength, position): the tests of a file, at most limit.
+
+    Strength 0: a configured pair of globs (of files, of tests) says so. 1: the
+    test's lower-cased path holds the file's name. 2: it holds the first long
+    part of the name, where none holds all of it. 3: they share two uncommon
+    terms (terms: path, term). A test counts with the first that holds; tests
+    are ordered by strength and path. Equal names are matched once.
     """
     rows = files.select("path", F.lower(name_stem(F.col("path"))).alias("stem"))
     tests = files.filter(is_test(F.col("path"))).select(F.col("path").alias("test"), F.lower("path").alias("low"))
@@ -65,13 +95,36 @@ def test_mapping(files: DataFrame, limit: int = 5) -> DataFrame:
     found = strong.unionByName(weak)
     best = Window.partitionBy("stem").orderBy("strength", "test")
     found = found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= limit)
-    return rows.join(found, "stem").select("path", "test", "strength", "position")
+    out = rows.join(found, "stem").select("path", "test", "strength", "position")
+    more = []
+    if terms is not None:
+        more.append(sharing_two(files, terms, limit).withColumn("strength", F.lit(3)))
+    for source, test in mappings:
+        matched = tests.filter(F.col("test").rlike(glob_regex(test))).select("test").orderBy("test").limit(limit)
+        more.append(files.filter(F.col("path").rlike(glob_regex(source))).select("path").join(F.broadcast(matched)).withColumn("strength", F.lit(0)))
+    if not more:
+        return out
+    out = out.select("path", "test", "strength")
+    for part in more:
+        out = out.unionByName(part.select("path", "test", "strength"))
+    out = out.groupBy("path", "test").agg(F.min("strength").alias("strength"))
+    order = Window.partitionBy("path").orderBy("strength", "test")
+    return out.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+
+
+def strongly_mapped(files: DataFrame, found: DataFrame, mappings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(path, strong): whether a test holds a file's name, or a configured pair names the file, whatever tests that has."""
+    named = found.filter("strength <= 1").select("path").distinct().withColumn("named", F.lit(True))
+    told = F.lit(False)
+    for source, _ in mappings:
+        told = told | F.col("path").rlike(glob_regex(source))
+    return files.select("path").join(named, "path", "left").select("path", (F.coalesce("named", F.lit(False)) | told).alias("strong"))
 
 
 def verification_gap(facts: DataFrame) -> DataFrame:
     """facts (path, classification, score, inline_tests, strength, degree, test_neighbours) with adjacency and gap."""
     test = is_test(F.col("path"))
-    near = F.col("inline_tests") | (F.col("strength") == 1)
+    near = F.col("inline_tests") | (F.col("strength") <= 1)
     adjacency = F.when(test | F.coalesce(near, F.col("inline_tests")), 1.0).when(F.col("strength").isNotNull(), 0.5).otherwise(0.0)
     ratio = F.coalesce(F.try_divide("test_neighbours", "degree"), F.lit(0.0))
     hot = ~test & ~F.col("inline_tests") & (F.col("score") >= 50) & F.col("strength").isNull()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gneiss.config import Config
 from gneiss.functions.paths import is_test
-from gneiss.operators import coupling, folders, health, history, inventory, overlays, scoring, similarity
+from gneiss.operators import coupling, folders, health, history, inventory, overlays, provenance, scoring, similarity
 from gneiss.staging import stage
 
 
@@ -23,12 +23,19 @@ class Analysis:
     temporal: DataFrame
     duplicates: DataFrame
     terms: DataFrame
+    tests: DataFrame
+    origins: DataFrame
+    sources: DataFrame
     findings: DataFrame
     distribution: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return dict(vars(self))
 
+    def limits(self, cfg: Config) -> dict[str, tuple[list, int]]:
+        """The tables that a published run bounds, with their order and size."""
+        return {"temporal": ([F.desc("evidence"), F.asc("a"), F.asc("b")], cfg.max_edges)}
+
     def relationships(self) -> DataFrame:
         """Edges of all kinds with one score."""
         temporal = self.temporal.select("a", "b", F.lit("temporal").alias("kind"), F.col("evidence").alias("score"), "class")
@@ -57,12 +64,16 @@ def analyze(files: DataFrame, touches: DataFrame, now: int, cfg: Config | None =
     for more in (spread, overlays.navigation(facts), overlays.stewardship(rows), overlays.dispersion(terms, n_files, cfg)):
         rows = rows.join(more, "path", "left")
     rows = stage(rows, "facts")
+    origins, sources = (stage(t, "origins") for t in provenance.provenance(files.select("path", "text")))
     return Analysis(
         files=rows,
         folders=folders.rollup(rows, cfg),
         queue=scoring.observations(scoring.action_queue(rows)),
         commits=commits,
-        temporal=coupling.temporal_edges(kept, coordination, n_commits, cfg).orderBy(F.desc("evidence"), "a", "b").limit(cfg.max_edges),
+        temporal=coupling.temporal_edges(kept, coordination, n_commits, cfg),
+        tests=overlays.test_mapping(facts.select("path"), terms=terms, mappings=cfg.source_test_mappings).filter(~is_test(F.col("path"))),
+        origins=origins,
+        sources=sources,
         duplicates=similarity.duplicate_pairs(similarity.shingled(chosen, cfg), cfg),
         terms=terms,
         findings=health.findings(rows, cfg),
@@ -74,7 +85,3 @@ def gate(run: Analysis, context: str = "critical", score: str = "critical") -> D
     """Files that break the policy."""
     return scoring.failing(run.files, context, score)
 
-
-def tests_beside(run: Analysis) -> DataFrame:
-    """Sources with their nearby tests."""
-    return overlays.test_mapping(run.files.select("path")).filter(~is_test(F.col("path")))

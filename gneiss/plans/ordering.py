@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from gneiss.session import shuffle_partitions
 from gneiss.staging import stage
@@ -73,3 +73,14 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "position") -> Da
     placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
     placed = stage(placed.withColumns({"__range": F.spark_partition_id(), "__one": F.lit(1)}), "ranked")
     return running_total(placed, "__range", order, "__one", out).withColumn(out, (F.col(out) + 1).cast("int")).drop("__range", "__one")
+
+
+def top_counted(rows: DataFrame, order: list[Column], limit: int, every: Observation) -> DataFrame:
+    """The first rows in an order, all rows being counted (as n) while they are read once.
+
+    A limit that is known to be no less than the rows there are would be
+    dropped, and the sort left would read them twice to find its ranges; a
+    generator hides how many there can be.
+    """
+    counted = rows.observe(every, F.count(F.lit(1)).alias("n"))
+    return counted.select("*", F.explode(F.array(F.lit(1))).alias("__once")).drop("__once").orderBy(*order).limit(limit)

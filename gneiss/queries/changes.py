@@ -83,3 +83,10 @@ def queue_movement(spark, sf_dir):
 def compare_page(spark, sf_dir):
     rows = all_deltas(spark, sf_dir).filter("score_delta > 0").select("path", "status", "score_delta")
     return compare.page(rows, 10, 20, F.desc("score_delta"), F.asc("path"))
+
+
+@query(f"{SNAP}, o as (select path, status, score_delta, row_number() over (order by score_delta desc, path) as position, count(*) over () as total from delta where score_delta > 0) select *, 20 as page_limit, total > 30 as has_more from o where position > 10 and position <= 30")
+def compare_page_totals(spark, sf_dir):
+    rows = all_deltas(spark, sf_dir).filter("score_delta > 0").select("path", "status", "score_delta")
+    found, told = compare.page_with_totals(rows, 10, 20, F.desc("score_delta"), F.asc("path"))
+    return found.withColumns({"total": F.lit(told["total"]).cast("long"), "page_limit": F.lit(told["limit"]), "has_more": F.lit(told["has_more"])})

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from gneiss.functions.udfs import stable_id_of
 from gneiss.operators.policy import retention
+from gneiss.plans.ordering import top_counted
 
 
 def sarif_level(score_band: str, context_band: str) -> str:
@@ -22,11 +23,32 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Writes a run's tables beside the others, then renames the run into place; a broken run stays hidden."""
+def write_bounded(df: DataFrame, path: str, order: list[Column] | None = None, limit: int | None = None) -> tuple[int, int]:
+    """Writes df, or its first rows in an order, and returns (rows there were, rows written), counted as they pass by."""
+    every, kept = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    rows = df.observe(every, one) if limit is None else top_counted(df, order, limit, every)
+    rows.observe(kept, one).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return every.get.get("n", 0), kept.get.get("n", 0)
+
+
+COLLECTIONS = "collection string, total long, returned long, limit long, truncated boolean"
+
+
+def publish(tables: dict[str, DataFrame], root: str, run_id: str, limits: dict[str, tuple[list[Column], int]] | None = None) -> None:
+    """Writes a run's tables beside the others, then renames the run into place; a broken run stays hidden.
+
+    limits has the order and the number of rows to keep of tables that are
+    bounded. The table collections tells how many rows each table has and had;
+    both are counted while the rows are written, without a second pass.
+    """
     spark = next(iter(tables.values())).sparkSession
+    told = []
     for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/.run-{run_id}/{name}")
+        order, limit = (limits or {}).get(name, (None, None))
+        total, returned = write_bounded(df, f"{root}/.run-{run_id}/{name}", order, limit)
+        told.append((name, total, returned, limit, returned < total))
+    spark.createDataFrame(told, COLLECTIONS).coalesce(1).write.mode("overwrite").parquet(f"{root}/.run-{run_id}/collections")
     fs, hidden = _fs(spark, f"{root}/.run-{run_id}")
     final = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run={run_id}")
     if fs.exists(final):
@@ -36,13 +58,13 @@ def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
 
 
 def list_runs(spark: SparkSession, root: str) -> list[tuple[str, int, int]]:
-    """(run_id, created, bytes) of published runs, newest first."""
+    """(run_id, created, bytes) of published runs, the last name first, whatever was touched since."""
     fs, where = _fs(spark, root)
     if not fs.exists(where):
         return []
     found = [(s.getPath(), s) for s in fs.listStatus(where) if s.getPath().getName().startswith("run=")]
     rows = [(p.getName()[4:], s.getModificationTime(), fs.getContentSummary(p).getLength()) for p, s in found]
-    return sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    return sorted(rows, key=lambda r: r[0], reverse=True)
 
 
 def load(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
@@ -58,7 +80,7 @@ def prune(spark: SparkSession, root: str, max_runs: int, max_bytes: int) -> list
     runs = list_runs(spark, root)
     if not runs:
         return []
-    rows = spark.createDataFrame(runs, "run_id string, created long, bytes long")
+    rows = spark.createDataFrame([(name, len(runs) - i, size) for i, (name, _, size) in enumerate(runs)], "run_id string, created long, bytes long")
     gone = [r["run_id"] for r in retention(rows, max_runs, max_bytes).filter(~F.col("kept")).collect()]
     for run in gone:
         fs, where = _fs(spark, f"{root}/run={run}")
