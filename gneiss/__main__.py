@@ -9,19 +9,27 @@ import time
 
 from pyspark.sql import functions as F
 
-from gneiss.config import Config
+from gneiss.config import Config, configured
 from gneiss.operators import compare, evidence, health, lookup, scoring
 from gneiss.session import local_session
 from gneiss.sources import git, runs
 from gneiss.staging import stage
 
 
+def settings(spark, args) -> Config:
+    text = None
+    if args.config:
+        with open(args.config, encoding="utf-8") as f:
+            text = f.read()
+    return configured(spark, text, args.set)
+
+
 def find(spark, args) -> int:
     from gneiss.functions.udfs import bpe_count
     from gneiss.functions.text import lines
     from gneiss.plans.analysis import analyze
 
-    cfg = Config()
+    cfg = settings(spark, args)
     found = stage(git.read_files(spark, args.repo, cfg.large_file_bytes, args.scope, (*cfg.ignore_globs, *args.ignore)), "read-files")
     files = found.filter("state = 'analyzed'").withColumns({"tokens": bpe_count()(F.col("text")), "lines": F.size(lines(F.col("text"))), "content": F.sha2("text", 256)})
     if found.isEmpty() and not args.allow_empty_scope:
@@ -57,7 +65,7 @@ def check(spark, args) -> int:
 
 def compared(spark, args) -> int:
     base, head = (runs.load(spark, args.runs, "files", r) for r in (args.base, args.head))
-    worse = compare.regressions(compare.deltas(base, head), Config())
+    worse = compare.regressions(compare.deltas(base, head), settings(spark, args))
     rows, told = compare.page_with_totals(worse, args.offset, args.limit, F.desc("score_delta"), F.asc("path"))
     print(runs.markdown(rows.orderBy("position"), ["path", "reason", "severity", "score_delta"], args.limit))
     print(f"{told['returned']} of {told['total']}" + (", more follow" if told["has_more"] else ""))
@@ -88,6 +96,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--runs", default=".gneiss/runs")
     parser.add_argument("--run-id")
     parser.add_argument("--limit", type=int, default=25)
+    parser.add_argument("--config", help="a JSON file of settings")
+    parser.add_argument("--set", action="append", default=[], metavar="POINTER=VALUE")
     commands = parser.add_subparsers(required=True)
 
     def command(name, run, *options):
