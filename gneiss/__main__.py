@@ -13,6 +13,7 @@ from gneiss.config import Config, configured
 from gneiss.operators import compare, evidence, health, lookup, scoring
 from gneiss.session import local_session
 from gneiss.sources import git, runs
+from gneiss.sources.cache import Cache, cached_counts
 from gneiss.staging import stage
 
 
@@ -31,7 +32,11 @@ def find(spark, args) -> int:
 
     cfg = settings(spark, args)
     found = stage(git.read_files(spark, args.repo, cfg.large_file_bytes, args.scope, (*cfg.ignore_globs, *args.ignore)), "read-files")
-    files = found.filter("state = 'analyzed'").withColumns({"tokens": bpe_count()(F.col("text")), "lines": F.size(lines(F.col("text"))), "content": F.sha2("text", 256)})
+    files = found.filter("state = 'analyzed'").withColumns({"lines": F.size(lines(F.col("text"))), "content": F.sha2("text", 256)})
+    if args.cache:
+        files = files.join(cached_counts(files.select("content", "text"), args.cache, bpe_count(), int(time.time()), "bpe", cfg.large_file_bytes), "content")
+    else:
+        files = files.withColumn("tokens", bpe_count()(F.col("text")))
     if found.isEmpty() and not args.allow_empty_scope:
         print("no tracked paths are selected; --allow-empty-scope accepts that", file=sys.stderr)
         return 2
@@ -111,6 +116,7 @@ def main(argv: list[str] | None = None) -> int:
         find,
         ("--repo", {"default": "."}),
         ("--as-of", {"type": int}),
+        ("--cache", {"help": "a folder of token counts to read and add to"}),
         ("--scope", {}),
         ("--ignore", {"action": "append", "default": []}),
         ("--follow-renames", {"action": "store_true"}),
@@ -122,6 +128,7 @@ def main(argv: list[str] | None = None) -> int:
     command("health", healthy, ("--format", {"default": "markdown", "choices": ["markdown", "json", "annotations"]}))
     command("plan", planned, ("path", {}))
     command("sarif", lambda spark, a: print(runs.sarif(table(spark, a, "queue"))) or 0)
+    command("prune-cache", lambda spark, a: print(json.dumps(Cache(spark, a.cache).prune(a.max_entries, a.max_bytes, a.dry_run))) or 0, ("cache", {}), ("--max-entries", {"type": int, "default": 100_000}), ("--max-bytes", {"type": int, "default": 1 << 30}), ("--dry-run", {"action": "store_true"}))
     command("prune", lambda spark, a: print(*runs.prune(spark, a.runs, a.max_runs, a.max_bytes), sep="\n") or 0, ("--max-runs", {"type": int, "default": 20}), ("--max-bytes", {"type": int, "default": 2 << 30}))
     args = parser.parse_args(argv)
     return args.run(local_session(name="gneiss"), args)

@@ -88,19 +88,6 @@ def prune(spark: SparkSession, root: str, max_runs: int, max_bytes: int) -> list
     return gone
 
 
-def cached_tokens(texts: DataFrame, cache: str, count, tokenizer: str) -> DataFrame:
-    """(content, tokens): counts of texts (content hash, text), only those that a Parquet cache lacks being computed and added to it."""
-    spark = texts.sparkSession
-    fs, where = _fs(spark, cache)
-    keyed = texts.select(F.sha2(F.concat_ws("\0", F.lit(tokenizer), "content"), 256).alias("key"), "content", "text").dropDuplicates(["key"])
-    if fs.exists(where):
-        fresh = keyed.join(spark.read.parquet(cache).select("key"), "key", "left_anti")
-    else:
-        fresh = keyed
-    fresh.select("key", count(F.col("text")).alias("tokens")).write.mode("append").parquet(cache)
-    return keyed.select("key", "content").join(spark.read.parquet(cache), "key").select("content", "tokens")
-
-
 def sarif(queue: DataFrame, limit: int = 5000, tool: str = "gneiss") -> str:
     """A SARIF 2.1.0 document of a ranked queue, bounded by limit."""
     rows = queue.orderBy("position").limit(limit).select("path", "score", "score_band", "context_band", "reasons").collect()

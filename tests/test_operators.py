@@ -12,7 +12,7 @@ from gneiss.functions import paths, text as texts, udfs
 from gneiss.functions.numeric import half_away, half_even, wilson_lower
 from gneiss.operators import compare, coupling, folders, history, scoring, similarity
 from gneiss.plans.components import connected_components
-from gneiss.sources import git, runs
+from gneiss.sources import cache, git, runs
 
 DAY = 86_400
 
@@ -168,9 +168,9 @@ def test_runs_publish_prune_and_exports(spark, tmp_path):
     assert "| a,b%.rs | 90.0 |" in runs.markdown(queue, ["path", "score"])
     texts_ = spark.createDataFrame([("h1", "one two"), ("h2", "three")], "content string, text string")
     for _ in range(2):
-        got = runs.cached_tokens(texts_, f"file://{tmp_path}/cache", udfs.bpe_count(), "byte_bpe_50k")
+        got = cache.cached_counts(texts_, f"file://{tmp_path}/cache", udfs.bpe_count(), 1, "byte_bpe_50k")
         assert {r["content"]: r["tokens"] for r in got.collect()}["h1"] == 2
-    assert spark.read.parquet(f"file://{tmp_path}/cache").count() == 2
+    assert cache.Cache(spark, f"file://{tmp_path}/cache").entries().count() == 2
 
 
 def test_stream_equals_batch(spark, tmp_path):
