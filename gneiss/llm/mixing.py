@@ -12,6 +12,7 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gneiss.llm.arrow import numbered
 from gneiss.plans.ordering import running_total
 from gneiss.session import shuffle_partitions
 from gneiss.staging import stage
@@ -129,7 +130,7 @@ def in_training_order(plan: DataFrame, copies: bool = True, shapes=SHAPES) -> Da
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, range-sorted by position; columns stay as they are.
+    """The rows of docs, each as often as the mix takes it, range-sorted by position; columns stay as they are, whatever their names.
 
     Documents stay whole: of the last, cut copy a document is given when the
     mix takes at least half of it. Rows that agree in doc_id and text share
@@ -145,6 +146,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     plan = plan.select(F.coalesce("doc_id", none).alias("__id"), F.col("key").alias("__key"), "words", "target", "class", F.col("h").alias("__h"))
     plan = plan.withColumn("__n", F.row_number().over(same)).select("__id", "__key", "__n", "__h", F.explode("words").alias("w"), "target", "class")
     plan = plan.select("__id", "__key", "__n", "__h", position(F.col("w")).alias("__position"))
-    rows = docs.withColumns({"__id": F.coalesce(docs[doc_id], none), "__key": F.xxhash64(docs[text])})
+    rows = numbered(docs)
+    own, body = (rows.columns[docs.columns.index(c)] for c in (doc_id, text))
+    names = rows.columns
+    rows = rows.withColumns({"__id": F.coalesce(own, none), "__key": F.xxhash64(body)})
     rows = rows.withColumn("__n", F.row_number().over(same)).join(plan, ["__id", "__key", "__n"])
-    return rows.repartitionByRange(parts, "__position", "__h").sortWithinPartitions("__position", "__h").select(*[rows[c] for c in docs.columns])
+    return rows.repartitionByRange(parts, "__position", "__h").sortWithinPartitions("__position", "__h").select(*names).toDF(*docs.columns)
