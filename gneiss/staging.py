@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is configured (tests), a new temporary one."""
+    """The session's checkpoint folder; where none is configured, a new temporary one in local mode, an error on a cluster."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gneiss-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="gneiss-"))
     return f"{context.getCheckpointDir()}/staged"
 
 

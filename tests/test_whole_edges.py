@@ -6,7 +6,7 @@ from gneiss.queries import history
 
 
 def test_lookups_take_all_temporal_edges(spark, sf, monkeypatch):
-    some = history.fx.touches(spark, sf).filter(F.pmod(F.xxhash64("commit_id"), F.lit(12)) == 0).localCheckpoint()
+    some = history.fx.touches(spark, sf).filter(F.pmod(F.xxhash64("commit_id"), F.lit(12)) == 0).checkpoint()
     monkeypatch.setattr(history.fx, "touches", lambda *_: some)
     want = {(r["a"], r["b"]): r["support"] for r in history.temporal_coupling(spark, sf).collect()}
     assert want and min(want.values()) < 14
