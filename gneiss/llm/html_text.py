@@ -1,7 +1,7 @@
 """Main text of web pages by a minimum cut over their blocks.
 
-A page is cut into blocks of text. A classifier over a block's place and
-wording gives it a cost for being left out and one for being kept, which become
+A page is cut into blocks of text. A classifier over a block's place, the names
+and tags around it, what else these hold, and its wording gives it a cost for being left out and one for being kept, which become
 capacities to the two terminals; neighbours on the page and in the document
 tree are joined by smoothness edges. The minimum cut labels all blocks at once:
 a doubtful block follows its surroundings, a clear one does not.
@@ -26,22 +26,32 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template head title svg annotation annotation-xml iframe canvas audio video select option datalist textarea button noframes".split())
 CLOSES_P = BLOCK - {"body", "html"}
 #: Weights of elements around a block; the strongest of each sign counts.
-AROUND = {"article": 3.0, "main": 2.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.0, "fieldset": -6.0}
-#: Parts of class, id and role names of page furniture and of content.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|header|masthead|side|sidebar|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|signup|login|search|comments?|commentlist|disqus|repl(?:y|ies)|respond|social|share|sharing|related|recommend\w*|trending|popular|widget|toolbar|pagination|pager|tags|copyright|legal|hidden|skip|contentinfo|complementary)(?:$|[\s_-])"
+AROUND = {"article": 3.0, "main": 2.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.0, "fieldset": -6.0}
+#: Words in class, id and role names of page furniture, of readers' comments, and of content.
+FURNITURE = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead side sidebar ad ads adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search social share sharing related recommended recommendations trending popular widget toolbar pagination pager tags copyright legal hidden skip contentinfo complementary".split()
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|post|story|main|body|text|prose)(?:$|[\s_-])")
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+CONTENT = frozenset("article articlebody content entry post story main body text prose".split())
+#: Words that say what kind of element a name belongs to, not what is in it.
+SHAPE = frozenset("list area section wrapper wrap container box links link form item items bar block inner outer content body text module panel group row col".split())
+#: What a name weighs that is, or ends in, such a word; one that only mentions it; a form; and furniture's header inside an article.
+NAMED, MENTIONED, FORM, OWN_HEADER = -7.0, -3.5, -9.0, -1.0
+#: A penalty for a name, or for a form, is lifted from an element with this share of the page's prose (for readers'
+#: comments nearly all of it), if no more than LEFT_OUT of the prose stands in content elements outside it.
+MOST, NEARLY_ALL, LEFT_OUT = 0.5, 0.9, 0.1
 NOTICE = re.compile(r"©|\(c\) \d{4}|all rights reserved|accept (?:all )?cookies|we use cookies|terms of (?:use|service)|privacy policy|subscribe to|sign up|log ?in|advertisement|sponsored|share (?:this|on)|read more|click here", re.I)
 SENTENCE = re.compile(r"[.!?…]['\"”’)]*(?:\s|$)")
 #: Capacity between neighbours on the page, and between neighbouring children of one element.
 ADJACENT, SIBLING = 1.0, 1.5
+#: Capacities no larger are full.
+LEAST = 1e-12
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*))>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names in which a part of the page is only said to be there or not.
-SAID = re.compile(r"(?:^|(?<=\s))(?:has|have|no|not|with|without|is|js|show|hide|hides|toggle)[_-][\w-]+")
+SAID = re.compile(r"(?:has|have|no|not|with|without|is|js|show|hide|hides|toggle|category|tag|type|status|format)[_-][\w-]+|[\w-]+[_-](?:open|opened|closed|enabled|disabled|on|off|active|inactive)")
+WORDS = re.compile(r"(?<=[a-z])(?=[A-Z])|[_-]+")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NOT_SHOWN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 #: Elements whose text ends only with their own end tag; of the others an end tag may be missing.
@@ -58,30 +68,106 @@ def is_hidden(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "tag", "path", "score", "links", "size")
+    __slots__ = ("text", "tag", "path", "score", "links", "size", "inside")
 
-    def __init__(self, text: str, tag: str, path: tuple[int, ...], score: float, links: int):
-        self.text, self.tag, self.path, self.score, self.links, self.size = text, tag, path, score, links, len(text)
+    def __init__(self, text: str, tag: str, path: tuple[int, ...], links: int, inside: int):
+        self.text, self.tag, self.path, self.links, self.size, self.inside, self.score = text, tag, path, links, len(text), inside, 0.0
+
+    def prose(self) -> int:
+        """Words, unless most of the block is links."""
+        return self.text.count(" ") + 1 if 2 * self.links < self.size else 0
+
+
+class Element:
+    """An open or closed element: its parent's number, and what its own tag and names say of the text in it.
+
+    hard holds whatever the page looks like, soft only unless the element has
+    the share of the page's prose given by most.
+    """
+
+    __slots__ = ("parent", "name", "good", "hard", "soft", "most", "mass", "content")
+
+    def __init__(self, parent: int, name: str, attributes: str):
+        self.parent, self.name = parent, name
+        own = AROUND.get(name, 0.0)
+        self.good, self.hard, self.soft, self.most, self.mass, self.content = max(own, 0.0), min(own, 0.0), FORM if name == "form" else 0.0, MOST, 0, 0
+        if attributes and name not in ("html", "body"):
+            for groups in NAMES.findall(attributes):
+                for token in next(filter(None, groups), "").split():
+                    self.named(token)
+            if is_hidden(attributes):
+                self.hard = min(self.hard, -8.0)
+        if self.soft:
+            self.good = self.good if name in ("article", "main") and self.soft > NAMED else 0.0
+
+    def named(self, token: str) -> None:
+        """Takes in one whole token of a class, id or role."""
+        if SAID.fullmatch(token.lower()):
+            return
+        parts = [x for x in WORDS.sub(" ", token).lower().split() if not x.isdigit()]
+        of = [x for x in parts if x in FURNITURE or x in COMMENTS or x.startswith("advert")]
+        if of:
+            while len(parts) > 1 and parts[-1] in SHAPE:
+                parts.pop()
+            meant = parts[-1] == of[-1]
+            if meant or self.name not in ("article", "main"):
+                self.soft = min(self.soft, NAMED if meant else MENTIONED)
+                if meant and of[-1] in COMMENTS:
+                    self.most = NEARLY_ALL
+        elif CONTENT.intersection(parts):
+            self.good = max(self.good, 2.0)
+
+
+def score_blocks(blocks: list[Block], elements: list[Element]) -> None:
+    """Sets each block's score: the strongest good and the strongest bad that its elements, judged by what they hold, say of it."""
+    #: Whether an element, or one around it, is always furniture; whether one is content.
+    hard, content = [False] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements):
+        if i:
+            hard[i] = hard[e.parent] or e.hard <= -6.0
+            content[i] = content[e.parent] or e.good > 0
+    for b in blocks:
+        if not hard[b.inside]:
+            words = b.prose()
+            elements[b.inside].mass += words
+            elements[b.inside].content += words if content[b.inside] else 0
+    for e in reversed(elements[1:]):
+        elements[e.parent].mass += e.mass
+        elements[e.parent].content += e.content
+    total, in_content = elements[0].mass, elements[0].content
+    best, worst = [0.0] * len(elements), [0.0] * len(elements)
+    for i, e in enumerate(elements):
+        if i:
+            bad = e.hard
+            holds_page = total and e.mass >= e.most * total and in_content - e.content <= LEFT_OUT * total
+            if e.soft and not holds_page:
+                bad = min(bad, e.soft)
+            if e.name == "header" and best[e.parent] >= 3.0:
+                bad = max(bad, OWN_HEADER)
+            best[i], worst[i] = max(best[e.parent], e.good), min(worst[e.parent], bad)
+    for b in blocks:
+        b.score = best[b.inside] + worst[b.inside]
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order: text between block elements, white space turned into single spaces."""
     out: list[Block] = []
-    #: Open elements: (name, number, score of the best and of the worst element around).
-    stack: list[tuple[str, int, float, float]] = []
+    elements = [Element(0, "", "")]
+    #: Open elements: name and number.
+    stack: list[tuple[str, int]] = []
     pieces: list[str] = []
-    state = [0, 0]  # elements so far; characters of links in the current block
+    linked = 0  # characters of links in the current block
     links_open = 0
 
     def end_block() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                high, low = (stack[-1][2], stack[-1][3]) if stack else (0.0, 0.0)
-                tag = next((n for n, *_ in reversed(stack) if n in BLOCK), "body")
-                out.append(Block(text, tag, tuple(i for n, i, *_ in stack if n in BLOCK), high + low, min(state[1], len(text))))
+                tag = next((n for n, _ in reversed(stack) if n in BLOCK), "body")
+                out.append(Block(text, tag, tuple(i for n, i in stack if n in BLOCK), min(linked, len(text)), stack[-1][1] if stack else 0))
             pieces.clear()
-        state[1] = 0
+        linked = 0
 
     at, size = 0, len(html)
     while at < size:
@@ -91,7 +177,7 @@ def blocks_of(html: str) -> list[Block]:
             piece = unescape(html[at:upto])
             pieces.append(piece)
             if links_open:
-                state[1] += len(piece.strip())
+                linked += len(piece.strip())
         if not m:
             break
         at = m.end()
@@ -104,7 +190,7 @@ def blocks_of(html: str) -> list[Block]:
             elif name == "a":
                 links_open = 0
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None and (name in BLOCK or not any(n in BLOCK for n, *_ in stack[k:])):
+            if k is not None and (name in BLOCK or not any(n in BLOCK for n, _ in stack[k:])):
                 del stack[k:]
             continue
         if name in RAW:
@@ -129,25 +215,12 @@ def blocks_of(html: str) -> list[Block]:
         if name in VOID:
             continue
         attributes = m[3] if m[2] else m[6] or ""
-        high, low = (stack[-1][2], stack[-1][3]) if stack else (0.0, 0.0)
-        own = AROUND.get(name, 0.0)
-        if name == "header" and high >= 3.0:
-            own = -1.0
-        high, low = max(high, own), min(low, own)
-        if attributes and name not in ("html", "body"):
-            for groups in NAMES.findall(attributes):
-                words = SAID.sub("", next(filter(None, groups), "").lower())
-                if FURNITURE.search(words):
-                    low = min(low, -8.0)
-                elif CONTENT.search(words):
-                    high = max(high, 2.0)
-            if is_hidden(attributes):
-                low = min(low, -8.0)
-        state[0] += 1
-        stack.append((name, state[0], high, low))
+        elements.append(Element(stack[-1][1] if stack else 0, name, attributes))
+        stack.append((name, len(elements) - 1))
         if name == "a":
             links_open = 1
     end_block()
+    score_blocks(out, elements)
     return out
 
 
@@ -181,13 +254,53 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     return edges
 
 
+def levels(residual: dict[int, dict[int, float]], source: int, sink: int) -> dict[int, int]:
+    """Steps from the source to each node that open capacity reaches; those from the sink on may be missing."""
+    level, queue = {source: 0}, deque([source])
+    while queue and sink not in level:
+        u = queue.popleft()
+        for v, c in residual[u].items():
+            if c > LEAST and v not in level:
+                level[v] = level[u] + 1
+                queue.append(v)
+    return level
+
+
+def blocking_flow(residual: dict[int, dict[int, float]], level: dict[int, int], source: int, sink: int) -> None:
+    """Pushes flow from level to level until every such path to the sink has a full edge; each edge is left behind once."""
+    ahead = {u: [v for v in residual[u] if level.get(v, -1) == level[u] + 1] for u in level}
+    path = [source]
+    while path:
+        u = path[-1]
+        if u == sink:
+            steps = list(zip(path, path[1:], strict=False))
+            flow = min(residual[a][b] for a, b in steps)
+            full = len(path)
+            for at, (a, b) in enumerate(steps):
+                residual[a][b] -= flow
+                residual[b][a] = residual[b].get(a, 0.0) + flow
+                if residual[a][b] <= LEAST:
+                    full = min(full, at + 1)
+            del path[full:]
+        elif ahead[u]:
+            v = ahead[u][-1]
+            if residual[u][v] > LEAST:
+                path.append(v)
+            else:
+                ahead[u].pop()
+        else:
+            path.pop()
+            if path:
+                ahead[path[-1]].pop()
+
+
 def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Labels of least total cost: True where a node stays on the source's side.
 
     unary is the cost of False minus the cost of True. A node whose own cost
     outweighs all its open edges keeps its sign in every minimum cut, so it is
     labelled and its edges are folded into its neighbours; what is left is
-    solved by shortest augmenting paths.
+    solved by blocking flows over the levels of a breadth-first search.
     """
     n = len(unary)
     value, near = list(unary), [{} for _ in range(n)]
@@ -218,26 +331,10 @@ def minimum_cut(unary: list[float], edges: dict[tuple[int, int], float]) -> list
             elif value[i] < 0:
                 residual[i][sink] = -value[i]
                 residual[sink][i] = 0.0
-        while True:
-            parent, queue = {source: source}, deque([source])
-            while queue and sink not in parent:
-                u = queue.popleft()
-                for v, c in residual[u].items():
-                    if c > 1e-12 and v not in parent:
-                        parent[v] = u
-                        queue.append(v)
-            if sink not in parent:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((parent[v], v))
-                v = parent[v]
-            flow = min(residual[u][v] for u, v in path)
-            for u, v in path:
-                residual[u][v] -= flow
-                residual[v][u] = residual[v].get(u, 0.0) + flow
+        while (level := levels(residual, source, sink)).get(sink):
+            blocking_flow(residual, level, source, sink)
         for i in open_nodes:
-            label[i] = i in parent
+            label[i] = i in level
     return [bool(x) for x in label]
 
 
@@ -255,9 +352,9 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
 
     A null or empty page, and one without content, has the empty text. Pages
     are judged alone: repeated rows agree, order does not matter, columns not
-    kept are not read, and an empty table gives an empty result. Labelling is
-    linear in a page's blocks but for those that the clear ones around them
-    leave open.
+    kept are not read, and an empty table gives an empty result. Clear blocks
+    are labelled in time linear in their number; those left open take a few
+    blocking flows, each linear in them.
     """
 
     def factory():
