@@ -85,6 +85,25 @@ def test_globs_are_looked_up_and_not_compared_with_all_paths(spark):
     assert rows.filter("glob = 'src/d3/*'").count() == 400 and rows.filter("glob = '*7.rs'").count() == 2000
 
 
+def shuffled(spark):
+    """Records that all stages so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_paths_and_sources_are_not_shuffled(spark):
+    files = [(f"gen/f{i}.rs", "# @generated from spec/*.proto") for i in range(700)] + [(f"spec/s{i}.proto", "") for i in range(700)] + [("two.rs", "")]
+    mappings = (Mapping("two.rs", ("spec/s1*", "spec/s12*")),)
+    before = shuffled(spark)
+    found, sources = provenance.provenance(spark.createDataFrame(files, "path string, text string"), mappings)
+    assert {r["n_sources"] for r in found.filter("path like 'gen/%'").collect()} == {700}
+    assert sources.count() == sources.distinct().count() == 490_000 + 111
+    parts = provenance.in_blocks(spark.range(50).selectExpr("id % 2 as k", "id as l"), spark.range(30).selectExpr("id % 3 as k", "id as r"), "k", 4)
+    assert sorted(map(tuple, parts.collect())) == sorted((a, b) for a in range(50) for b in range(30) if a % 2 == b % 3)
+    sources.write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 490_000 + 100_000
+
+
 def test_marked_files_are_generated(spark):
     from gneiss.config import Config
     from gneiss.operators.inventory import inventory
