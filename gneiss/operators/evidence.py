@@ -59,9 +59,9 @@ def verification_near(files: DataFrame, limit: int = 5) -> DataFrame:
 
     checks = files.filter(is_verification(F.col("path"))).select(F.col("path").alias("test"), F.lower("path").alias("low"))
     rows = files.select("path", F.lower(name_stem(F.col("path"))).alias("needle")).filter("needle <> ''")
-    found = containing(rows.select("needle").distinct(), checks)
+    found = containing(rows.select("needle").distinct(), checks, limit)
     found = found.withColumn("position", F.row_number().over(Window.partitionBy("needle").orderBy("test"))).filter(F.col("position") <= limit)
-    return rows.join(found, "needle").select("path", F.col("test").alias("check_path"), "position")
+    return rows.join(found.hint("merge"), "needle").select("path", F.col("test").alias("check_path"), "position")
 
 
 def folder_trigger(tokens: Column, files: Column, cfg: Config) -> Column:

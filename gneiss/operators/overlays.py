@@ -8,6 +8,7 @@ from gneiss.config import Config
 from gneiss.functions.numeric import clip, half_away
 from gneiss.functions.paths import glob_regex, is_test, parent, root
 from gneiss.functions.text import COMMON
+from gneiss.staging import stage
 
 
 def file_name(path: Column) -> Column:
@@ -29,25 +30,27 @@ def navigation(files: DataFrame) -> DataFrame:
     return rows.select("path", "depth", "siblings", "same_name", half_away(F.col("ambiguity")).alias("ambiguity"), half_away(pressure).alias("navigation"))
 
 
-def grams(text: Column, width: Column) -> Column:
-    """All distinct substrings of a width."""
-    last = F.length(text) - width + 1
-    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, width))).otherwise(F.array().cast("array<string>")))
+def containing(needles: DataFrame, tests: DataFrame, limit: int) -> DataFrame:
+    """(needle, test) where a test's lower-cased path holds the needle, the first tests by path, at most limit a needle.
 
-
-def containing(needles: DataFrame, tests: DataFrame) -> DataFrame:
-    """(needle, test) where a test's lower-cased path holds the needle.
-
-    Every needle is looked up by the rarest of its substrings of three
-    characters (itself, if shorter) in an index of the tests', then verified;
-    nothing is compared with everything.
+    Needles are of file names, so they hold no / and no dot, and a path holds
+    one inside a part between those. Each distinct part is cut into all its
+    substrings as long as some needle, and these are joined to the needles as
+    wholes: what meets also matches, and rows grow with the parts alone. A test
+    among a needle's first ones is among the first of each part that it shares.
     """
-    index = tests.select("test", "low", F.explode(F.concat(*[grams(F.col("low"), F.lit(k)) for k in (1, 2, 3)])).alias("gram"))
-    wanted = needles.select("needle", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(3)))).alias("gram"))
-    rarest = wanted.join(index.groupBy("gram").count(), "gram").groupBy("needle").agg(F.count("*").alias("n"), F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    every = wanted.groupBy("needle").agg(F.count("*").alias("all"))
-    rarest = rarest.join(every, "needle").filter(F.col("n") == F.col("all")).select("needle", "gram")
-    return rarest.join(index, "gram").filter(F.contains(F.col("low"), F.col("needle"))).select("needle", "test")
+    lengths = needles.agg(F.collect_set(F.length("needle")).alias("lengths"))
+    parts = tests.select("test", F.explode(F.array_distinct(F.split("low", "[/.]"))).alias("part"))
+    first = Window.partitionBy("part").orderBy("test")
+    few = parts.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= limit).select("part", "test")
+    size = F.length("part")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("part"), i, n))
+    cuts = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= size), cut)))
+    strings = few.select("part").distinct().join(F.broadcast(lengths)).select("part", F.explode(cuts).alias("needle"))
+    held = strings.join(needles.select("needle").distinct().hint("merge"), "needle")
+    best = Window.partitionBy("needle").orderBy("test")
+    found = held.join(few.hint("merge"), "part").select("needle", "test").distinct()
+    return found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= limit).select("needle", "test")
 
 
 def uncommon(terms: DataFrame) -> DataFrame:
@@ -89,13 +92,14 @@ def test_mapping(files: DataFrame, limit: int = 5, terms: DataFrame | None = Non
     tests = files.filter(is_test(F.col("path"))).select(F.col("path").alias("test"), F.lower("path").alias("low"))
     prefix = F.coalesce(F.try_element_at(F.filter(F.split("stem", "_"), lambda p: F.octet_length(p) >= 5), F.lit(1)), F.lit(""))
     stems = rows.select("stem").distinct().withColumn("prefix", prefix)
-    strong = containing(stems.filter("stem <> ''").select(F.col("stem").alias("needle")), tests).select(F.col("needle").alias("stem"), "test", F.lit(1).alias("strength"))
-    others = stems.join(strong.select("stem").distinct(), "stem", "left_anti").filter("prefix <> ''")
-    weak = others.join(containing(others.select(F.col("prefix").alias("needle")).distinct(), tests), F.col("prefix") == F.col("needle")).select("stem", "test", F.lit(2).alias("strength"))
+    strong = containing(stems.filter("stem <> ''").select(F.col("stem").alias("needle")), tests, limit).select(F.col("needle").alias("stem"), "test", F.lit(1).alias("strength"))
+    strong = stage(strong, "strong")
+    others = stems.join(strong.select("stem").distinct().hint("merge"), "stem", "left_anti").filter("prefix <> ''")
+    weak = others.hint("merge").join(containing(others.select(F.col("prefix").alias("needle")).distinct(), tests, limit), F.col("prefix") == F.col("needle")).select("stem", "test", F.lit(2).alias("strength"))
     found = strong.unionByName(weak)
     best = Window.partitionBy("stem").orderBy("strength", "test")
     found = found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= limit)
-    out = rows.join(found, "stem").select("path", "test", "strength", "position")
+    out = rows.join(found.hint("merge"), "stem").select("path", "test", "strength", "position")
     more = []
     if terms is not None:
         more.append(sharing_two(files, terms, limit).withColumn("strength", F.lit(3)))

@@ -87,3 +87,22 @@ def test_runs_are_ordered_by_name(spark, tmp_path):
     assert [r[0] for r in runs.list_runs(spark, root)] == ["2025", "2024", "2023"]
     assert set(runs.prune(spark, root, 1, 1 << 30)) == {"2024", "2023"}
     assert [r[0] for r in runs.list_runs(spark, root)] == ["2025"]
+
+
+def test_names_are_found_in_paths_without_false_candidates(spark):
+    rng = random.Random(5)
+    paths = [f"tests/{rng.choice('ab')}/test_part_{rng.randint(0, 3)}_{i}.x_{i % 5}.rs" for i in range(120)] + ["tests/ba/b.rs", "tests/Ünï/ß_1.rs"]
+    names = sorted({f"part_{k}" for k in range(5)} | {f"part_{i % 4}_{i}" for i in range(130)} | {"a", "b", "tests", "x_3", "ünï", "ß", "nothing"})
+    tests = spark.createDataFrame([(p, p.lower()) for p in paths], "test string, low string")
+    needles = spark.createDataFrame([(n,) for n in names], "needle string")
+    want = {(n, p) for n in names for p in sorted(q for q in paths if n in q.lower())[:5]}
+    assert sorted(map(tuple, overlays.containing(needles, tests, 5).collect())) == sorted(want)
+
+
+def test_equal_parts_send_on_only_the_first_tests(spark):
+    tests = spark.range(20_000).selectExpr("concat('tests/reader/t', id, '.rs') as test").selectExpr("test", "test as low")
+    needles = spark.createDataFrame([("reader",), ("test",), ("t7",)], "needle string")
+    found = overlays.containing(needles, tests, 5)
+    assert {r["needle"]: r["count"] for r in found.groupBy("needle").count().collect()} == {"reader": 5, "test": 5, "t7": 5}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Contains" not in plan
