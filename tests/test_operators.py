@@ -184,3 +184,30 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = rows.groupBy("path").agg(F.count("*"), F.sum("added"), F.sum("deleted"))
     assert sorted(map(tuple, streaming.totals(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_terms_counted_in_tasks_equal_terms_counted_by_spark(spark):
+    import random
+
+    from gneiss.config import Config
+    from gneiss.functions import text as texts
+    from gneiss.operators import similarity
+
+    rng = random.Random(11)
+    ends = ["", "s", "ss", "us", "is", "ies", "ing", "ed", "sed", "nning", "pped", "'s", "seses"]
+    words = ["".join(rng.choices("abesIg_1é", k=rng.randint(0, 6))) + rng.choice(ends) for _ in range(900)] + ["the", "Lines", "runs", "\u212a1", "x"]
+    texts_ = [" ".join(rng.choices(words, k=300)) for _ in range(40)]
+    rows = spark.createDataFrame([(f"p{i % 35}", t) for i, t in enumerate(texts_)] + [("none", None), ("empty", "")], "path string, text string")
+    got = {(r["path"], r["term"]): r["count"] for r in similarity.top_terms(rows, Config(top_terms=10_000)).collect()}
+    token = rows.select("path", F.explode(texts.ascii_tokens(F.col("text"))).alias("token")).withColumn("term", texts.stem(F.col("token")))
+    token = token.filter(~F.col("token").isin(*texts.UNHELPFUL) & ~F.col("term").isin(*texts.UNHELPFUL))
+    assert got == {(r["path"], r["term"]): r["count"] for r in token.groupBy("path", "term").count().filter("count >= 2").collect()} and got
+
+
+def test_a_long_prefix_sends_on_only_the_first_tests(spark):
+    from gneiss.operators import overlays
+
+    names = spark.range(6000).selectExpr("concat('src/reader_', id, '.rs') as path").union(spark.range(6000).selectExpr("concat('tests/x/test_', 'reader.', id, '.rs') as path"))
+    found = overlays.test_mapping(names)
+    weak = found.filter("strength = 2")
+    assert weak.count() == 30_000 and weak.agg(F.countDistinct("test")).first()[0] == 5
