@@ -38,6 +38,16 @@ OFFSETS = np.arange(8, dtype=np.int64) * 256
 PLACES = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def majority(counts: np.ndarray, total: int) -> int:
+    """The bits that are set in over half of total hashes; counts has how often each of their eight bytes has each value."""
+    ones = np.einsum("kv,vb->kb", counts.reshape(8, 256), BYTE_BITS).ravel()
+    return int(PLACES[2 * ones > total].sum(dtype=np.uint64))
+
+
+def byte_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount((hashes.view(np.uint8).reshape(-1, 8) + OFFSETS).ravel(), minlength=2048)
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
     """A bit is 1 if more than half of the shingles' XXH64 hashes (seed 42) have it; no words: 0."""
     found = text.encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
@@ -53,9 +63,8 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     total = n - words + 1
     for at in range(0, total, 65536):
         h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at : at + 65536], ends[at + words - 1 : at + words - 1 + 65536], strict=False)], dtype="<u8")
-        counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + OFFSETS).ravel(), minlength=2048)
-    ones = np.einsum("kv,vb->kb", counts.reshape(8, 256), BYTE_BITS).ravel()
-    return int(PLACES[2 * ones > total].sum(dtype=np.uint64))
+        counts += byte_counts(h)
+    return majority(counts, total)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,5 +1,10 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of at least a bound, without a miss.
 
+SimHash comes first: each set has a fingerprint, and fingerprints of few
+differing bits are looked for by the operator of gneiss.llm.simhash. What is
+found is compared on the whole sets. At a similarity of 0.8 fingerprints differ
+in more bits than can be looked for, so a second search completes the links.
+
 Sets are ordered by one order of all shingles, frequent ones last. If two sets
 have similarity t or more, each shares with the other at least ceil(t * n) of
 its n shingles, so their first n - ceil(t * n) + 1 have one in common. What
@@ -18,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gneiss.llm.arrow import ROWS, map_texts, numbered
+from gneiss.llm.simhash import MOST_BITS, byte_counts, links, majority, plan_search
 from gneiss.plans.components import connected_components
 from gneiss.plans.joins import spread_join
 from gneiss.staging import drop, stage
@@ -58,6 +64,11 @@ def longs_for(n: int) -> int:
     return 1 << max(0, (n - 1) // 16).bit_length()
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """The SimHash of a set's shingles, as a signed long."""
+    return int(np.uint64(majority(byte_counts(shingles), len(shingles))).view(np.int64))
+
+
 def set_id(shingles: np.ndarray) -> int:
     """A hash of the whole set, as a signed long."""
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 11)).view(np.int64))
@@ -69,9 +80,9 @@ def long_lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """For every row of docs (doc_id, key, text) what finds and tries its candidates: sid, n, odd, sharp and firsts.
+    """For every row of docs (doc_id, key, text) what finds and tries its candidates: sid, fp, n, odd, sharp and firsts.
 
-    sid is the hash of its shingle set, n the set's size, odd and sharp its
+    sid is the hash of its shingle set, fp its SimHash, n its size, odd and sharp its
     parities and firsts the first shingles in the common order. The sets
     themselves, larger than the texts, are made again for candidates alone.
     """
@@ -92,6 +103,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, last: np.ndarra
             sets = [shingle_set(t, words) for t in texts]
             return [
                 pa.array(list(map(set_id, sets)), pa.int64()),
+                pa.array(list(map(set_print, sets)), pa.int64()),
                 pa.array(list(map(len, sets)), pa.int32()),
                 long_lists([parities(s) for s in sets]),
                 long_lists([parities(s, longs_for(len(s))) for s in sets]),
@@ -101,7 +113,7 @@ def shingle_sets(docs: DataFrame, words: int, similarity: float, last: np.ndarra
         return work
 
     lists = T.ArrayType(T.LongType())
-    return map_texts(docs, "text", ["doc_id", "key"], [("sid", T.LongType()), ("n", T.IntegerType()), ("odd", lists), ("sharp", lists), ("firsts", lists)], factory)
+    return map_texts(docs, "text", ["doc_id", "key"], [("sid", T.LongType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("odd", lists), ("sharp", lists), ("firsts", lists)], factory)
 
 
 def whole_sets(docs: DataFrame, keep: list[str], words: int) -> DataFrame:
@@ -162,6 +174,31 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, sim
     return edges
 
 
+def print_pairs(sets: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b) of sids that SimHash finds.
+
+    Of the sets with one fingerprint each is paired with the smallest; the
+    smallest of fingerprints at most most bits apart are paired along spanning
+    forests, which connect what all such pairs connect.
+    """
+    rows = stage(sets.select("fp", "sid").distinct(), "prints")
+    reps = stage(rows.groupBy("fp").agg(F.min("sid").alias("least"), F.count("*").alias("rows")), "print-heads")
+    n, total, largest = reps.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    same = spread_join(rows, reps, ["fp"], "rows", total, largest).filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    if n < 2:
+        return same
+    near = stage(links(reps.select("fp"), plan_search(reps, n, most), most).toDF("x", "y"), "print-links")
+    for end, name in (("x", "a"), ("y", "b")):
+        near = near.join(reps.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
+    return same.unionByName(near.select("a", "b"))
+
+
+def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with c, the smallest sid that edges connect theirs with."""
+    label = connected_components(edges).select(F.col("node").alias("sid"), "component")
+    return rows.join(F.broadcast(label) if label.count() <= FEW else label, "sid", "left").withColumn("c", F.coalesce("component", "sid")).drop("component")
+
+
 def open_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of sids of different components c that share a first shingle s of apart and may be similar enough.
 
@@ -184,20 +221,23 @@ def open_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, key (the text's hash) and head, equal for what similarities of at least the bound connect, for every row of docs.
 
-    Of the sets that share a first shingle, each is compared with the smallest
-    first; only shingles whose sets these links leave apart are compared in pairs.
+    SimHash's pairs are compared first. Of the sets that share a first shingle
+    and that these links leave apart, each is compared with the smallest next;
+    only shingles whose sets are still apart then are compared in pairs.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("text"))
     sets = stage(shingle_sets(source, words, similarity, frequent(source, words)), "shingle-sets")
-    firsts = sets.select("sid", F.explode("firsts").alias("s"))
-    groups = firsts.groupBy("s").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.count("*").alias("rows")).filter("least <> most")
-    groups = stage(groups.drop("most"), "shared-shingles")
+    printed = verified(print_pairs(sets), sets, source, words, similarity)
+    firsts = labelled(sets.select("sid", "firsts"), printed).select("sid", "c", F.explode("firsts").alias("s"))
+    groups = firsts.groupBy("s").agg(F.min(F.struct("c", "sid")).alias("least"), F.max("c").alias("most"), F.count("*").alias("rows")).filter("least.c <> most")
+    groups = stage(groups.select("s", F.col("least.c").alias("low"), F.col("least.sid").alias("least"), "rows"), "shared-shingles")
     total, largest = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
     shared = stage(spread_join(firsts, groups, ["s"], "rows", total, largest).drop("rows"), "shared")
     drop(groups)
-    first = verified(shared.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")), sets, source, words, similarity)
-    label = connected_components(first).select(F.col("node").alias("sid"), "component")
-    rest = stage(shared.select("s", "sid").join(label, "sid", "left").withColumn("c", F.coalesce("component", "sid")), "labelled")
+    first = verified(shared.filter("c <> low").select(F.col("least").alias("a"), F.col("sid").alias("b")), sets, source, words, similarity)
+    first = stage(printed.unionByName(first), "first-links")
+    drop(printed)
+    rest = stage(labelled(shared.select("s", "sid"), first), "labelled")
     drop(shared)
     groups = stage(rest.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("s", "rows"), "open-shingles")
     total, largest = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()

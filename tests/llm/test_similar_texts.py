@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from gneiss.llm.similar_texts import open_pairs, parities
+from gneiss.llm.similar_texts import open_pairs, parities, print_pairs, set_print
 
 
 def similar_heads(texts, words=5, least=0.8):
@@ -68,3 +68,41 @@ def test_open_pairs_lose_no_similar_pair(spark):
     every = {(a, b) for a in sets for b in sets if a < b}
     want = {(a, b) for a, b in every if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want and want <= got < every
+
+
+def test_simhash_links_sets_of_close_fingerprints(spark):
+    """The stage's first step: SimHash connects what all pairs of at most four differing bits connect."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(30):
+        base = [rng.getrandbits(64) - (1 << 63) for _ in range(400)]
+        for j in range(4):
+            own = np.unique(np.array([*base[: 400 - j], *[rng.getrandbits(64) - (1 << 63) for _ in range(j)]], np.int64))
+            rows.append((set_print(own), 10 * k + j))
+    rows.append((rows[0][0], 999))
+    prints = {sid: fp for fp, sid in rows}
+
+    def parted(edges):
+        head = {s: s for s in prints}
+        for _ in prints:
+            for a, b in edges:
+                head[a] = head[b] = min(head[a], head[b])
+        return head
+
+    got = [(r["a"], r["b"]) for r in print_pairs(spark.createDataFrame(rows, "fp long, sid long")).collect()]
+    close = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count() <= 4]
+    assert len(close) > 60 and parted(got) == parted(close)
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """What SimHash finds reaches the comparison on whole sets, and what it misses is found all the same."""
+    import corpus_pipeline
+    from gneiss.llm import similar_texts
+
+    asked = []
+    real = similar_texts.links
+    monkeypatch.setattr(similar_texts, "links", lambda reps, plan, most: asked.append(reps.count()) or real(reps, plan, most))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "x"])), (2, " ".join([*words[:50], "y", "y", *words[52:120], "y", *words[121:]])), (3, "of its own kind")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [0, 3]
+    assert len(asked) == 1 and asked[0] > 1
