@@ -298,7 +298,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = stage(starts.groupBy("seq").agg(F.min_by("rid", "start").alias("rid"), F.min("start").alias("start")).select("rid", "start"), "first-of-each")
     whole = starts.join(first.select("rid"), "rid", "left_anti").filter(F.col("total") >= min_words)
     whole = whole.select("doc_id", "key", F.array(F.struct("s", "e", F.col("total").alias("words"))).alias("runs"))
-    bodies = stage(lines.select("rid", "ids", "at", "words").join(first, "rid").drop("rid"), "bodies")
+    bodies = stage(lines.select("rid", "ids", "at", "words").join(first.hint("merge"), "rid").drop("rid"), "bodies")
     drop(lines)
     active = active_lines(bodies, min_words)
     drop(bodies)
@@ -325,7 +325,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = numbered(docs)
     own, body = (rows.columns[docs.columns.index(c)] for c in (doc_id, text))
     rows = rows.withColumn("key", F.xxhash64(F.coalesce(body, F.lit(""))))
-    rows = rows.join(runs, F.col(own).eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left").drop("key", "of", "of_key")
+    rows = rows.join(runs.hint("merge"), F.col(own).eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left").drop("key", "of", "of_key")
     left = f"array_join(filter(split({body}, '\\n', -1), (l, i) -> not exists(runs, r -> i >= r.s and i < r.e)), '\\n')"
     return rows.withColumn("kept", F.expr(f"case when runs is null then {body} else {left} end")).toDF(*docs.columns, "__runs", "__kept")
 

@@ -18,7 +18,7 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
     """
     over = max(HOT, total // MOST)
     if largest <= over:
-        return rows.join(lookup, keys)
+        return rows.join(lookup.hint("merge"), keys)
     hot = F.broadcast(lookup.filter(F.col(n) > over))
-    cold = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.filter(F.col(n) <= over), keys)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.filter(F.col(n) <= over).hint("merge"), keys)
     return rows.join(hot, keys).unionByName(cold)
