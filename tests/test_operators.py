@@ -211,3 +211,14 @@ def test_a_long_prefix_sends_on_only_the_first_tests(spark):
     found = overlays.test_mapping(names)
     weak = found.filter("strength = 2")
     assert weak.count() == 30_000 and weak.agg(F.countDistinct("test")).first()[0] == 5
+
+
+def test_word_counts_are_made_without_the_words(spark):
+    from gneiss.functions.udfs import content_token_count, content_tokens
+    from gneiss.queries import QUERIES
+
+    texts = [("fooBar HTTPServer l'eau x_yz",), ("",), (None,), ("ﬁne 12 a bc",)]
+    rows = spark.createDataFrame(texts, "text string").select(F.size(content_tokens("text")).alias("a"), content_token_count("text").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["b"] > 4
+    plan = QUERIES["unicode_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "content_token_count" in plan and "content_tokens(" not in plan
