@@ -33,10 +33,13 @@ def coordination(touches: DataFrame, commits: DataFrame, cfg: Config) -> DataFra
 
 
 def pairs(touches: DataFrame, commits: DataFrame, cfg: Config) -> DataFrame:
-    """(a, b), a < b: support, weighted support, support by kind. A commit has a bounded number of files."""
+    """(a, b), a < b: support, weighted support, support by kind. A commit has a bounded number of files.
+
+    Touches that come spread by commit are not shuffled again before their pairs are.
+    """
     used = observed(commits, cfg).select("commit_id", "kind", "weight")
-    rows = touches.select("commit_id", "path").distinct().join(used, "commit_id")
-    both = rows.select("commit_id", F.col("path").alias("a"), "kind", "weight").join(rows.select("commit_id", F.col("path").alias("b")), "commit_id").filter("a < b")
+    rows = touches.select("commit_id", "path").distinct()
+    both = rows.join(used, "commit_id").withColumnRenamed("path", "a").join(rows.withColumnRenamed("path", "b"), "commit_id").filter("a < b")
     return both.groupBy("a", "b").agg(
         F.count("*").alias("support"), half_away(F.sum("weight")).alias("weighted"), F.count_if(F.col("kind") == "creation").alias("creation"), F.count_if(F.col("kind") != "creation").alias("maintenance")
     )
@@ -44,7 +47,8 @@ def pairs(touches: DataFrame, commits: DataFrame, cfg: Config) -> DataFrame:
 
 def neighbours(edges: DataFrame, cfg: Config) -> DataFrame:
     """Directed (src, dst): the best max_pairs of each source by support, then path; not symmetric."""
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "support", "weighted").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "support", "weighted"))
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    both = edges.select("support", "weighted", F.inline(F.array(way("a", "b"), way("b", "a")))).select("src", "dst", "support", "weighted")
     best = Window.partitionBy("src").orderBy(F.desc("support"), "dst")
     return both.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= cfg.max_pairs)
 
