@@ -93,20 +93,25 @@ def spread(kept: DataFrame, facts: DataFrame, n_files: int) -> DataFrame:
 def pagerank(kept: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Rank of every source after a fixed number of rounds; weight to paths that are no source is lost.
 
-    Edges are weighted by support and staged once; ranks are staged every five
+    Sources are numbered, and each has the numbers and weights of its targets in
+    one row, at most max_pairs of them. A round joins these rows with what
+    their sources were given and shuffles what they give; it is staged every five
     rounds, so no plan holds more than five joins.
     """
     kept = stage(kept, "kept")
-    total = kept.groupBy("src").agg(F.sum("support").alias("total"))
-    nodes = stage(total.select(F.col("src").alias("node")), "nodes")
-    n = nodes.count()
-    edges = stage(kept.join(total, "src").join(nodes, F.col("dst") == F.col("node"), "left_semi").select("src", "dst", (F.col("support") / F.col("total")).alias("w")), "weights")
-    ranks, staged = nodes.withColumn("rank", F.lit(1.0) / F.lit(float(max(n, 1)))), None
+    names = stage(kept.select(F.col("src").alias("path")).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = max(names.count(), 1)
+    numbered = kept.join(names.withColumnRenamed("path", "src"), "src").select("node", "dst", "support").join(names.select(F.col("path").alias("dst"), F.col("node").alias("to")), "dst", "left")
+    # A target that is no source counts in the total and is given nothing.
+    rows = numbered.groupBy("node").agg(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("to", "support"))).alias("targets"), F.sum("support").alias("total"))
+    links = stage(rows.select("node", F.transform("targets", lambda x: F.struct(x["to"].alias("to"), (x["support"] / F.col("total")).alias("w"))).alias("targets")), "links")
+    rank, given, before = F.lit(1.0 / n), None, None
     for i in range(rounds):
-        got = edges.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
-        ranks = nodes.join(got, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        held = (links if given is None else links.join(given, "node", "left")).select(rank.alias("rank"), F.inline("targets"))
+        given = held.groupBy(F.col("to").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
+        rank = F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))
         if i % 5 == 4:
-            before, staged = staged, stage(ranks, "ranks")
-            ranks = staged
+            given = stage(given, "ranks")
             drop(before)
-    return ranks.select(F.col("node").alias("path"), half_away(F.col("rank")).alias("rank"))
+            before = given
+    return (names if given is None else names.join(given, "node", "left")).select("path", half_away(rank).alias("rank"))

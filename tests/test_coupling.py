@@ -1,5 +1,6 @@
-"""Neighbours of coupled paths: results against plain loops, and how often their plans shuffle."""
+"""Ranks and neighbours of coupled paths: results against plain loops, and how often their plans shuffle."""
 
+import random
 import re
 
 import pytest
@@ -22,6 +23,27 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_equal_a_plain_loop_and_rounds_shuffle_numbers(spark, shuffled, monkeypatch):
+    r = random.Random(18)
+    kept = [(f"p{a}", f"p{b}", r.randint(1, 9)) for a in range(30) for b in r.sample(range(34), 5) if a != b]
+    plans, stage = [], coupling.stage
+    monkeypatch.setattr(coupling, "stage", lambda df, name: plans.append((name, df)) or stage(df, name))
+    got = dict(map(tuple, coupling.pagerank(spark.createDataFrame(kept, "src string, dst string, support long")).collect()))
+    nodes = sorted({a for a, _, _ in kept})
+    total = {n: sum(s for a, _, s in kept if a == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        rank = {n: 0.15 / len(nodes) + 0.85 * sum(rank[a] * s / total[a] for a, b, s in kept if b == n) for n in nodes}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-6 for n in nodes)
+    rounds = [df for name, df in plans if name == "ranks"]
+    assert len(rounds) == 4 and all(df.dtypes == [("node", "bigint"), ("got", "double")] for df in rounds)
+    assert max(plan(df).count("Exchange hashpartitioning") for df in rounds) <= 11
+
+
+def test_no_sources_no_ranks(spark):
+    assert coupling.pagerank(spark.createDataFrame([], "src string, dst string, support long")).collect() == []
+
+
 def test_neighbours_pair_spread_touches_without_more_shuffles(spark, sf, shuffled, monkeypatch):
     monkeypatch.setattr(history.fx, "TASK_ROWS", 100)
     rows = history.neighbors_top20(spark, sf)
