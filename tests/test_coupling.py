@@ -56,3 +56,7 @@ def test_neighbours_pair_spread_touches_without_more_shuffles(spark, sf, shuffle
         near.setdefault(b, []).append((-s, a))
     want = {(p, d, -s, i + 1) for p, ds in near.items() for i, (s, d) in enumerate(sorted(ds)[: CFG.max_pairs])}
     assert {(r["src"], r["dst"], r["support"], r["position"]) for r in rows.collect()} == want
+
+
+def test_touches_do_not_broadcast_orders(spark, sf):
+    assert "SortMergeJoin" in plan(history.freshness(spark, sf))
